@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import line_quality, simhash
+from lodestrata.llm import decontaminate, line_quality, simhash, vector_packing
 from lodestrata.llm.common import load
 from lodestrata.session import ship
 
@@ -22,13 +22,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.sharded(load(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select(columns)
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost"]
     return line_quality.judged(load(spark, sf_dir, "documents").select("doc_id", "text")).select(columns)
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash, op9_line_quality)
+    found = (op1_simhash, op5_vector_packing, op8_decontamination, op9_line_quality)
     return {f.__name__: _with_package(f) for f in found}
 
 
