@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, line_quality, simhash, vector_packing
+from lodestrata.llm import decontaminate, line_quality, simhash, token_files, vector_packing
 from lodestrata.llm.common import load
 from lodestrata.session import ship
 
@@ -26,6 +27,19 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.sharded(load(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file: in LODESTRATA_TOKENIZERS if that is set, else where its package says."""
+    if folder := os.environ.get("LODESTRATA_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(load(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select(columns)
@@ -37,7 +51,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash, op5_vector_packing, op8_decontamination, op9_line_quality)
+    found = (op1_simhash, op5_vector_packing, op6_token_files, op8_decontamination, op9_line_quality)
     return {f.__name__: _with_package(f) for f in found}
 
 
