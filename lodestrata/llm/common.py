@@ -57,3 +57,8 @@ def ascii_lower(column):
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def let(value, body):
+    """body(value) with value computed once a row, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)

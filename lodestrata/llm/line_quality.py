@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import BLANK, WORD
+from lodestrata.llm.common import WORD, let
 
 #: Openings of lines that are notices rather than prose, matched anywhere in a lower-cased line.
 BOILERPLATE = (
@@ -61,7 +61,7 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     Each window becomes one long: a hash above, its place below. Sorted, equal windows are neighbours; neighbours
     of equal hash count only if their words are equal too. The places are then swept once for the words covered.
     """
-    return F.when(F.size(words) > size, _swept(words, size)).otherwise(F.lit(0).cast("long"))
+    return let(words, lambda w: F.when(F.size(w) > size, _swept(w, size)).otherwise(F.lit(0).cast("long")))
 
 
 def _swept(words: Column, size: int) -> Column:
@@ -85,7 +85,7 @@ def _swept(words: Column, size: int) -> Column:
         return close & equal
 
     codes = F.array_sort(F.transform(F.sequence(F.lit(1), count - (size - 1)), packed))
-    return F.aggregate(F.array(codes), F.lit(0).cast("long"), lambda _, c: _covered(c, same, place_of, size))
+    return let(codes, lambda c: _covered(c, same, place_of, size))
 
 
 def _covered(codes: Column, same, place_of, size: int) -> Column:
@@ -135,6 +135,3 @@ def cleaned(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, mos
     kept = judged(docs.select(*docs.columns), least_words, most_repeated, most_lost).where("kept").select(docs.columns)
     kept = kept.withColumn("text", clean_text(F.col("text")))
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
-
-
-__all__ = ["BLANK", "clean_text", "cleaned", "judged", "line_fails", "repeated_words", "word_array"]

@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, line_quality, simhash, token_files, vector_packing
+from lodestrata.llm import decontaminate, line_quality, raking, simhash, token_files, vector_packing
 from lodestrata.llm.common import load
 from lodestrata.session import ship
 
@@ -50,8 +51,14 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judged(load(spark, sf_dir, "documents").select("doc_id", "text")).select(columns)
 
 
+def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raking.mixed(load(spark, sf_dir, "documents"))
+    rounded = {c: F.round(c, 6) for c in ("weight", "probability")}
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled").withColumns(rounded)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_simhash, op5_vector_packing, op6_token_files, op8_decontamination, op9_line_quality)
+    found = (op1_simhash, op5_vector_packing, op6_token_files, op8_decontamination, op9_line_quality, op10_raking)
     return {f.__name__: _with_package(f) for f in found}
 
 
