@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, line_quality, raking, simhash, token_files, vector_packing
+from lodestrata.llm import decontaminate, line_quality, raking, sentence_spans, simhash, token_files, vector_packing, viterbi_counts
 from lodestrata.llm.common import load
 from lodestrata.session import ship
 
@@ -24,6 +24,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentence_spans.deduplicated(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_sentences", "n_removed", "removed_words", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.sharded(load(spark, sf_dir, "documents"))
 
@@ -41,6 +46,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(load(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = viterbi_counts.read_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    return viterbi_counts.counted(load(spark, sf_dir, "documents"), vocabulary)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select(columns)
@@ -58,7 +68,7 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash, op5_vector_packing, op6_token_files, op8_decontamination, op9_line_quality, op10_raking)
+    found = (op1_simhash, op3_sentence_spans, op5_vector_packing, op6_token_files, op7_viterbi_counts, op8_decontamination, op9_line_quality, op10_raking)
     return {f.__name__: _with_package(f) for f in found}
 
 
