@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, line_quality, raking, sentence_spans, simhash, token_files, vector_packing, viterbi_counts
+from lodestrata.llm import decontaminate, html_render, line_quality, raking, sentence_spans, simhash, token_files, vector_packing, viterbi_counts
 from lodestrata.llm.common import load
 from lodestrata.session import ship
 
@@ -29,6 +29,10 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_sentences", "n_removed", "removed_words", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.rendered(load(spark, sf_dir, "pages"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.sharded(load(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash, op3_sentence_spans, op5_vector_packing, op6_token_files, op7_viterbi_counts, op8_decontamination, op9_line_quality, op10_raking)
+    found = (op1_simhash, op3_sentence_spans, op4_html_render, op5_vector_packing, op6_token_files, op7_viterbi_counts, op8_decontamination, op9_line_quality, op10_raking)
     return {f.__name__: _with_package(f) for f in found}
 
 
