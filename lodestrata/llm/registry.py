@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, html_render, line_quality, raking, sentence_spans, simhash, token_files, vector_packing, viterbi_counts
+from lodestrata.llm import decontaminate, html_render, line_quality, raking, sentence_spans, simhash, suffix_dedup, token_files, vector_packing, viterbi_counts
 from lodestrata.llm.common import load
 from lodestrata.session import ship
 
@@ -24,6 +24,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicated(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentence_spans.deduplicated(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_sentences", "n_removed", "removed_words", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -72,7 +77,7 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_simhash, op3_sentence_spans, op4_html_render, op5_vector_packing, op6_token_files, op7_viterbi_counts, op8_decontamination, op9_line_quality, op10_raking)
+    found = (op1_simhash, op2_suffix_dedup, op3_sentence_spans, op4_html_render, op5_vector_packing, op6_token_files, op7_viterbi_counts, op8_decontamination, op9_line_quality, op10_raking)
     return {f.__name__: _with_package(f) for f in found}
 
 
