@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import retrieval
+from lodestrata.plans import corpus, evaluation, graphs, retrieval
 from lodestrata.session import ship
 
-MODULES = (retrieval,)
+MODULES = (retrieval, corpus, evaluation, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
