@@ -42,8 +42,13 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _occurring(docs: DataFrame, tokens: DataFrame, size: int, carry: list[str], small: bool) -> DataFrame:
-    """Rows of docs (with words w) at every place whose shingle is among the tokens (column h)."""
-    thin = docs.select("__id", "__text", *carry, F.posexplode(shingle_hashes(F.col("w"), size)).alias("pos", "h"))
+    """Rows of docs (with words w) at every place, counted from 0, whose shingle is among the tokens (column h).
+
+    Hashes are made after the words are exploded, in generated code; as array lambdas they would be interpreted.
+    """
+    rest = [F.element_at("w", F.col("pos") + k) for k in range(2, size + 1)]
+    places = docs.select("__id", "__text", "w", F.posexplode("w").alias("pos", "word")).where(F.col("pos") + size <= F.size("w"))
+    thin = places.select("__id", "__text", *carry, "pos", F.xxhash64(F.lit(size), "word", *rest).alias("h"))
     return thin.join(F.broadcast(tokens) if small else tokens, "h")
 
 
