@@ -102,36 +102,42 @@ def _covered(codes: Column, same, place_of, size: int) -> Column:
     return F.aggregate(starts, zero, step, lambda a: a["covered"])
 
 
+def verdict(text_col: Column, least_words: int = 50, most_repeated: int = 50, most_lost: int = 50) -> dict[str, Column]:
+    """The columns of judged(), by name, as expressions over a text."""
+    text = F.coalesce(text_col, F.lit(""))
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
+    ink = lambda t: F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long")
+    words, chars, lost = F.size(word_array(text)).cast("long"), ink(text), ink(F.array_join(F.filter(lines, line_fails), "\n"))
+    repeated = repeated_words(word_array(text))
+    failed = (words < least_words) | (100 * repeated > most_repeated * words)
+    return {
+        "n_words": words,
+        "word_chars": chars,
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeated,
+        "n_lost": lost,
+        "base_failed": failed,
+        "kept": ~failed & (100 * lost <= most_lost * chars),
+    }
+
+
 def judged(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, most_lost: int = 50, text_col: str = "text") -> DataFrame:
-    """docs with the columns of the verdict added.
+    """docs with the columns of the verdict added; a column of docs with one of their names is replaced.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, n_lost (code points of words in
     lines that fail), kept. A document is kept if its base rules hold and at most ``most_lost`` per cent of its word
     characters stand in lines that fail. A null text has no words: all counts are 0, base_failed is true. Ties at a
     limit pass. Rows are judged one by one, so repeated rows, null ids and extra columns go through unchanged.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = word_array(text)
-    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
-    ink = lambda t: F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long")
-    failing = F.array_join(F.filter(lines, line_fails), "\n")
-    one = docs.withColumn("__words", words).withColumn("__lines", lines)
-    measured = one.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": ink(text),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("__words")),
-            "n_lost": ink(failing),
-        }
-    ).drop("__words", "__lines")
+    found = verdict(F.col(text_col), least_words, most_repeated, most_lost)
+    counts = {k: v for k, v in found.items() if k not in ("base_failed", "kept")}
+    out = docs.withColumns(counts)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost") <= most_lost * F.col("word_chars")))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost") <= most_lost * F.col("word_chars")))
 
 
 def cleaned(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, most_lost: int = 50) -> DataFrame:
-    """Documents that the rules keep, without the lines that fail; n_chars follows the text."""
-    kept = judged(docs.select(*docs.columns), least_words, most_repeated, most_lost).where("kept").select(docs.columns)
-    kept = kept.withColumn("text", clean_text(F.col("text")))
+    """Documents that the rules keep, without the lines that fail; n_chars follows the text, other columns stay."""
+    kept = docs.where(verdict(F.col("text"), least_words, most_repeated, most_lost)["kept"]).withColumn("text", clean_text(F.col("text")))
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept

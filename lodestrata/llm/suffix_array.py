@@ -30,7 +30,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     head = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
     firsts = np.flatnonzero(head)
     rank = np.zeros(n + PAD, np.int64)
-    rank[order] = firsts[np.cumsum(head) - 1] + 1  # 0: past the end
+    rank[order] = firsts[np.cumsum(head) - 1] + 1
     sorted_to = 8
     while True:
         sizes = np.diff(np.append(np.flatnonzero(head), n))
@@ -39,7 +39,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(at):
             break
         places = order[at]
-        further = rank[np.minimum(places + sorted_to, n)]
+        on = places + sorted_to
+        further = np.where(on < n, rank[np.minimum(on, n)] + sorted_to, n - places)  # of suffixes that end, the shorter is less
         pair = (rank[places].astype(np.uint64) << np.uint64(32)) | further.astype(np.uint64)
         by = np.argsort(pair)
         pair = pair[by]

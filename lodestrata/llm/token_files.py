@@ -28,6 +28,7 @@ SEGMENT_IDS = 1 << 20
 #: Known pieces are dropped when there are so many, which bounds a worker's memory.
 CACHE_PIECES = 400_000
 #: A blank that isn't followed by a word: there the pre-tokenizer might not cut, so we don't either.
+_CLOSING = ".,!?;:"
 _UNSAFE = re.compile(r" (?=\s|$)")
 
 
@@ -35,7 +36,9 @@ class PieceEncoder:
     """Encodes whole texts with a byte-level BPE tokenizer, remembering the pieces between single blanks.
 
     The pre-tokenizer always cuts before a blank that a non-blank follows, and no merge crosses a cut, so a text's ids
-    are its pieces' ids one after another. Pieces not seen yet go to the tokenizers library in one batch.
+    are its pieces' ids one after another. It also cuts between a letter and a closing mark that ends a piece, so a
+    piece with such a mark is put together from two. Pieces not seen yet go to the tokenizers library many at once, in
+    one text with an added token between them, as each call costs far more than a piece.
     """
 
     def __init__(self, spec: str):
@@ -44,6 +47,8 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark, self.mark_id = next(((t.content, k) for k, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), (None, -1))
 
     def pieces(self, text: str) -> list[str]:
         if " " not in text:
@@ -54,18 +59,31 @@ class PieceEncoder:
         cuts = [m.start() for m in re.finditer(r" (?=\S)", text)]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
+    def _learn(self, pieces: list[str]) -> None:
+        alone = [p for p in pieces if self.mark is None or self.mark in p or not p]
+        for piece, found in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        joined = [p for p in pieces if p not in self.known]
+        for k in range(0, len(joined), 1024):
+            part = joined[k : k + 1024]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            for piece, low, high in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
+                self.known[piece] = ids[low:high].tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
         known = self.known
-        missing = list({p for ps in split for p in ps if p not in known})
+        missing = {p for ps in split for p in ps if p not in known}
         if len(known) + len(missing) > CACHE_PIECES:
             known.clear()
-            missing = list({p for ps in split for p in ps})
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+            missing = {p for ps in split for p in ps}
+        marked = [p for p in missing if len(p) > 2 and p[-1] in _CLOSING and p[-2].isalpha()]
+        stems = {q for p in marked for q in (p[:-1], p[-1])}
+        self._learn([p for p in (missing.difference(marked) | stems) if p not in known])
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1]]
         return [b"".join(map(known.__getitem__, ps)) for ps in split]
 
 
