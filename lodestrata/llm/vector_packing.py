@@ -24,8 +24,8 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item (row of vectors), by the greatest dot product with the residual capacity.
 
     Capacity is an equal share of each dimension. Of equally good shards the first is taken. Items that fit in no
-    shard go where the first dimension has most room. Afterwards single items move from the fullest to the emptiest
-    shard in the first dimension while that brings them closer.
+    shard go where the first dimension has most room. Afterwards an item moves from the fullest shard to the
+    emptiest, or two items change places, while that brings their first dimensions closer.
     """
     whole = np.maximum(vectors.sum(axis=0), 1)
     parts = vectors / whole
@@ -38,16 +38,25 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
         placed[item] = best
         room[best] -= parts[item]
     load = np.bincount(placed, parts[:, 0], shards)
-    for _ in range(16 * shards):
+    for _ in range(64 * shards):
         full, empty = int(load.argmax()), int(load.argmin())
         gap = load[full] - load[empty]
-        own = np.flatnonzero((placed == full) & (parts[:, 0] > 0) & (parts[:, 0] < gap))
-        if not len(own):
+        if gap <= 0:
             break
-        item = own[np.abs(parts[own, 0] - gap / 2).argmin()]
-        placed[item] = empty
-        load[full] -= parts[item, 0]
-        load[empty] += parts[item, 0]
+        own, other = np.flatnonzero(placed == full), np.flatnonzero(placed == empty)
+        other = other[np.argsort(parts[other, 0], kind="stable")]
+        sizes = np.concatenate([[0.0], parts[other, 0]])  # what comes back: nothing, or an item
+        at = np.clip(np.searchsorted(sizes, parts[own, 0] - gap / 2), 0, len(sizes) - 1)
+        at = np.where((at > 0) & (np.abs(parts[own, 0] - sizes[at - 1] - gap / 2) < np.abs(parts[own, 0] - sizes[at] - gap / 2)), at - 1, at)
+        given = parts[own, 0] - sizes[at]
+        best = int(np.abs(given - gap / 2).argmin())
+        if not 1e-12 < given[best] < gap - 1e-12:
+            break
+        placed[own[best]] = empty
+        if at[best]:
+            placed[other[at[best] - 1]] = full
+        load[full] -= given[best]
+        load[empty] += given[best]
     return placed
 
 
