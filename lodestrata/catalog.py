@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import corpus, evaluation, graphs, retrieval
+from lodestrata.plans import corpus, evaluation, graphs, retrieval, selection
 from lodestrata.session import ship
 
-MODULES = (retrieval, corpus, evaluation, graphs)
+MODULES = (retrieval, corpus, evaluation, graphs, selection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
