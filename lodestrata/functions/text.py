@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Runs of word characters, joined by single hyphens or slashes.
 TOKEN = r"(?U)\b[\w]+(?:[-/][\w]+)*\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility normal form; Spark has no builtin for it."""
     return texts.str.normalize("NFKC")

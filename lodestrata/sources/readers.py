@@ -29,7 +29,7 @@ def sniff_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF
         try:
             text = bytes(head).decode(encoding)
         except UnicodeDecodeError as e:
-            if e.start < len(head) - 4:
+            if len(head) < 1 << 16 or e.start < len(head) - 4:  # else the cut may have split a character
                 continue
             text = bytes(head[: e.start]).decode(encoding)
         try:
