@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import stored
+
 #: A sentence: up to its closing marks or line end, with the blanks that follow.
 _SENTENCE = re.compile(r"[^.!?\n…。]*(?:[.!?…。]+[\"'”’)\]]*|\n|$)\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -85,6 +87,8 @@ def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
     found = spans(docs, run)
     order = F.struct(F.col("i").isNull().alias("last"), "i", "t", "at")
     repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    # Written out, so that the join deals both sides anew and a hot run's rows can be split over tasks.
+    repeated, _ = stored(repeated.drop("n"), "repeated")
     later = found.join(repeated, ["h1", "h2"])
     same = F.col("i").eqNullSafe(F.col("first.i")) & (F.col("t") == F.col("first.t")) & (F.col("at") == F.col("first.at"))
     cuts = later.where(~same).groupBy("i", "t").agg(F.sort_array(F.collect_set("at")).alias("cuts"))
