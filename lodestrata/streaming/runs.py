@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(folder)
+    """Events as they arrive; a watermark needs ts as a timestamp with a zone."""
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
