@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, html_render, line_quality, raking, sentence_spans, simhash, suffix_dedup, token_files, vector_packing, viterbi_counts
 from lodestrata.llm.common import load
+from lodestrata.llm.oracle import ORACLE
 from lodestrata.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
