@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.suffix_array import Shard, merged_least, padded, words_at
 
 GRAM = 16
+BLOCK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -57,19 +58,26 @@ def runs(texts: list[bytes], width: int) -> tuple[bytes, np.ndarray, np.ndarray,
     if n < width:
         none = np.zeros(0, np.int64)
         return data, none.astype(np.uint64), none, none, none
-    words = words_at(padded(data), big=False)
-    grams = _mix(words[:n] * _A + words[GRAM // 2 : n + GRAM // 2] * _B)
-    least = _least_of(grams, width - GRAM + 1)[: n - width + 1]
-    text = np.repeat(np.arange(len(texts)), lengths)[: n - width + 1]
-    valid = np.flatnonzero(np.arange(n - width + 1) + width <= ends[text])
+    parts = [_block_runs(data, ends, low, min(low + BLOCK, n - width + 1), width) for low in range(0, n - width + 1, BLOCK)]
+    return data, *(np.concatenate(column) for column in zip(*parts))
+
+
+def _block_runs(data: bytes, ends: np.ndarray, low: int, high: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of the windows that start from low to high - 1; in blocks, so that memory doesn't follow the text."""
+    count = high - low
+    words = words_at(padded(data[low : high + width - 1]), big=False)
+    grams = _mix(words[: count + width - GRAM] * _A + words[GRAM // 2 : count + width - GRAM + GRAM // 2] * _B)
+    least = _least_of(grams, width - GRAM + 1)
+    place = np.arange(low, high)
+    text = np.searchsorted(ends, place, side="right")
+    valid = np.flatnonzero(place + width <= ends[text])
+    value, owner, place = least[valid], text[valid], place[valid]
     if not len(valid):
-        none = np.zeros(0, np.int64)
-        return data, none.astype(np.uint64), none, none, none
-    value, owner = least[valid], text[valid]
+        return value, owner, place, place
     head = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])
     firsts = np.flatnonzero(head)
     lasts = np.append(firsts[1:], len(valid)) - 1
-    return data, value[firsts], owner[firsts], valid[firsts], valid[lasts]
+    return value[firsts], owner[firsts], place[firsts], place[lasts]
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -290,7 +298,7 @@ def _apply():
     return run
 
 
-def deduplicated(docs: DataFrame, width: int = 50, doc_shard_bytes: int = 16 << 20, array_bytes: int = 8 << 20, hot: int = 2000) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 50, doc_shard_bytes: int = 12 << 20, array_bytes: int = 3 << 20, hot: int = 2000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row for each row of docs; kept holds the bytes left.
 
     Each byte covered by a ``width``-byte string that also starts in a document with a smaller doc_id is removed;
