@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import corpus, evaluation, graphs, presentation, retrieval, selection
+from lodestrata.plans import contracts, corpus, evaluation, graphs, presentation, retrieval, selection
 from lodestrata.session import ship
 
-MODULES = (retrieval, corpus, evaluation, graphs, selection, presentation)
+MODULES = (retrieval, corpus, evaluation, graphs, selection, presentation, contracts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
