@@ -81,6 +81,8 @@ def _block_runs(data: bytes, ends: np.ndarray, low: int, high: int, width: int)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each minimizer. Minimizers are least hashes, so they crowd near zero and are hashed again."""
+    hashes = _mix(hashes * _A)
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
@@ -185,9 +187,9 @@ def _segments(width: int, routes: int):
         base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         least: dict[bytes, int] = {}
         cut: list[tuple[int, int, int]] = []
-        going: dict[int, list[tuple[int, int, bytes]]] = {}
-        route_of = _bucket(value, routes)
-        for o, a, b, r, v in zip(owner.tolist(), first.tolist(), last.tolist(), route_of.tolist(), very.tolist()):
+        going: dict[int, list[tuple[int, int, bytes, int]]] = {}
+        route_of, tag_of = _bucket(value, routes), value & np.uint64(0xFFFFFFFF)
+        for o, a, b, r, v, tag in zip(owner.tolist(), first.tolist(), last.tolist(), route_of.tolist(), very.tolist(), tag_of.tolist()):
             piece = data[a : b + width]
             doc = int(ids[o])
             if least.setdefault(piece, doc) < doc:
@@ -195,17 +197,18 @@ def _segments(width: int, routes: int):
             elif v:
                 for k in range(a, b + 1):
                     window = data[k : k + width]
-                    going.setdefault(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big") % routes, []).append((o, k - int(base[o]), window))
+                    name = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big")
+                    going.setdefault((name >> 32) % routes, []).append((o, k - int(base[o]), window, name & 0xFFFFFFFF))
             else:
-                going.setdefault(r, []).append((o, a - int(base[o]), piece))
+                going.setdefault(r, []).append((o, a - int(base[o]), piece, tag))
         rows = {"route": [], "shard": [], "cuts": [], "owners": [], "lengths": [], "bytes": []}
         if cut:
             for name, x in zip(rows, (shard, shard, np.array(cut, "<i4").tobytes(), None, None, None)):
                 rows[name].append(x)
         for r, pieces in going.items():
-            o, start, text = zip(*pieces)
+            o, start, text, tag = zip(*pieces)
             place = np.stack([o, start], axis=1).astype("<i4").tobytes()
-            for name, x in zip(rows, (r, shard, None, ids[list(o)].astype("<i8").tobytes() + place, np.array([len(t) for t in text], "<i4").tobytes(), zlib.compress(b"".join(text), 1))):
+            for name, x in zip(rows, (r, shard, None, ids[list(o)].astype("<i8").tobytes() + place + np.array(tag, "<u4").tobytes(), np.array([len(t) for t in text], "<i4").tobytes(), zlib.compress(b"".join(text), 1))):
                 rows[name].append(x)
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(rows.items(), kinds)})
@@ -214,43 +217,62 @@ def _segments(width: int, routes: int):
 
 
 def _cut_classes(width: int, shard_bytes: int):
-    """Task body: suffix arrays over shards of segments, merged; yields (shard, cuts) of windows with an earlier owner."""
+    """Task body: suffix arrays over shards of segments, merged; yields (shard, cuts) of windows with an earlier owner.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: list[tuple[Shard, np.ndarray, np.ndarray, np.ndarray]] = []
-        pieces: list[bytes] = []
-        owners: list[np.ndarray] = []
-        places: list[np.ndarray] = []
-        homes: list[np.ndarray] = []
-        held = 0
-
-        def close() -> None:
-            nonlocal pieces, owners, places, homes, held
-            if pieces:
-                own = np.concatenate(owners)
-                shards.append((Shard(pieces, own, width), own, np.concatenate(places), np.concatenate(homes)))
-            pieces, owners, places, homes, held = [], [], [], [], 0
+    Of equal segments the least owner's is sorted, once; later owners lose theirs whole. A segment that is then the
+    only one of its minimizer has no window that another holds, and isn't sorted.
+    """
+
+    def cuts(home: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(home, kind="stable")
+        home, row, start, length = home[order], row[order], start[order], length[order]
+        names, firsts = np.unique(home, return_index=True)
+        parts = [slice(x, y) for x, y in zip(firsts, [*firsts[1:], len(home)])]
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([_pack(row[p], start[p], length[p]) for p in parts], pa.binary())], ["shard", "cuts"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        tags: list[np.ndarray] = []
+        columns: list[tuple[np.ndarray, ...]] = []  # of each blob: segment, owner, document's row, start, length, home
         for batch in batches:
-            for home, cuts, owner, lengths, packed in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
-                if cuts is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([cuts], pa.binary())], ["shard", "cuts"])
+            for home, done, owner, lengths, packed in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
+                if done is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([done], pa.binary())], ["shard", "cuts"])
                     continue
                 sizes = np.frombuffer(lengths, "<i4").astype(np.int64)
                 data, ends = zlib.decompress(packed), np.cumsum(sizes)
-                if held + len(data) > shard_bytes:
-                    close()
-                pieces += [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-                owners.append(np.frombuffer(owner, "<i8", len(sizes)))
-                places.append(np.frombuffer(owner, "<i4", 2 * len(sizes), 8 * len(sizes)).reshape(-1, 2))
-                homes.append(np.full(len(sizes), home, np.int32))
-                held += len(data)
-        close()
-        if not shards:
+                which = [known.setdefault(data[e - n : e], len(known)) for n, e in zip(sizes.tolist(), ends.tolist())]
+                place = np.frombuffer(owner, "<i4", 2 * len(sizes), 8 * len(sizes)).reshape(-1, 2)
+                tags.append(np.frombuffer(owner, "<u4", len(sizes), 16 * len(sizes)))
+                columns.append((np.array(which), np.frombuffer(owner, "<i8", len(sizes)), place[:, 0], place[:, 1], sizes, np.full(len(sizes), home, np.int32)))
+        if not columns:
+            return
+        which, owner, row, start, size, home = (np.concatenate(c) for c in zip(*columns))
+        first = np.full(len(known), NO_ID)
+        np.minimum.at(first, which, owner)
+        later = owner > first[which]
+        yield from cuts(home[later], row[later], start[later], size[later])
+        which, row, start, home = which[~later], row[~later], start[~later], home[~later]
+        order = np.argsort(which, kind="stable")
+        row, start, home = row[order], start[order], home[order]
+        places = np.searchsorted(which[order], np.arange(len(known) + 1))
+        tag = np.zeros(len(known), np.uint32)
+        tag[which] = np.concatenate(tags)[~later]
+        _, index, times = np.unique(tag, return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero(times[index] > 1)
+        if not len(chosen):
             return
-        for (shard, own, place, home), least in zip(shards, merged_least([s[0] for s in shards])):
-            gone = least[shard.class_of] < own[shard.segment]
-            segment, offset = shard.segment[gone], shard.offset[gone]
+        pieces = list(known)
+        pieces = [pieces[k] for k in chosen]
+        sizes = np.cumsum([len(p) for p in pieces])
+        bounds = [0, *(np.searchsorted(sizes, np.arange(shard_bytes, int(sizes[-1]), shard_bytes)) + 1).tolist(), len(pieces)]
+        spans = [(x, y) for x, y in zip(bounds, bounds[1:]) if x < y]
+        shards = [Shard(pieces[x:y], first[chosen[x:y]], width) for x, y in spans]
+        for (low, _), shard, least in zip(spans, shards, merged_least(shards)):
+            segment = chosen[shard.segment + low]
+            gone = least[shard.class_of] < first[segment]
+            segment, offset = segment[gone], shard.offset[gone]
             order = np.lexsort((offset, segment))
             segment, offset = segment[order], offset[order]
             if not len(segment):
@@ -258,12 +280,11 @@ def _cut_classes(width: int, shard_bytes: int):
             head = np.concatenate([[True], (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)])
             firsts = np.flatnonzero(head)
             lasts = np.append(firsts[1:], len(segment)) - 1
-            at = segment[firsts]
-            start, length = place[at, 1] + offset[firsts], offset[lasts] - offset[firsts] + width
-            to = home[at]
-            for name in np.unique(to):
-                own_ = to == name
-                yield pa.RecordBatch.from_arrays([pa.array([int(name)], pa.int32()), pa.array([_pack(place[at[own_], 0], start[own_], length[own_])], pa.binary())], ["shard", "cuts"])
+            of, begin, length = segment[firsts], offset[firsts], offset[lasts] - offset[firsts] + width
+            times = places[of + 1] - places[of]  # a document may hold one segment in several places
+            each = np.repeat(np.arange(len(of)), times)
+            at = np.repeat(places[of] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(each))
+            yield from cuts(home[at], row[at], start[at] + begin[each], length[each])
 
     return run
 
