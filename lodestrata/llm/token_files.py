@@ -9,6 +9,7 @@ text writer, one segment a record, so they reach any store Spark can write and a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,7 +27,7 @@ from lodestrata.llm.simple8b import decode, encode
 MAGIC = b"LSTOK8B1"
 SEGMENT_IDS = 1 << 20
 #: Known pieces are dropped when there are so many, which bounds a worker's memory.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: A blank that isn't followed by a word: there the pre-tokenizer might not cut, so we don't either.
 _CLOSING = ".,!?;:"
 _UNSAFE = re.compile(r" (?=\s|$)")
@@ -37,8 +38,8 @@ class PieceEncoder:
 
     The pre-tokenizer always cuts before a blank that a non-blank follows, and no merge crosses a cut, so a text's ids
     are its pieces' ids one after another. It also cuts between a letter and a closing mark that ends a piece, so a
-    piece with such a mark is put together from two. Pieces not seen yet go to the tokenizers library many at once, in
-    one text with an added token between them, as each call costs far more than a piece.
+    piece with such a mark is put together from two. Pieces not seen yet go to the tokenizers library many at once, as
+    one text, since each call costs far more than a piece; byte counts tell whose the ids are.
     """
 
     def __init__(self, spec: str):
@@ -47,8 +48,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark, self.mark_id = next(((t.content, k) for k, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), (None, -1))
+        #: Bytes of each token, if tokens are spelled byte by byte; then ids can be told apart by counting bytes.
+        self.sizes = None
+        if (json.loads(spec).get("pre_tokenizer") or {}).get("type") == "ByteLevel":
+            self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, k in self.tokenizer.get_vocab().items():
+                self.sizes[k] = len(token)
 
     def pieces(self, text: str) -> list[str]:
         if " " not in text:
@@ -60,16 +65,21 @@ class PieceEncoder:
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
     def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if self.mark is None or self.mark in p or not p]
-        for piece, found in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        joined = [p for p in pieces if p not in self.known]
+        joined = [p for p in pieces if p[:1] == " " and not p[1:2].isspace() and len(p) > 1] if self.sizes is not None else []
         for k in range(0, len(joined), 1024):
             part = joined[k : k + 1024]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            for piece, low, high in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in part])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if (ends[cuts - 1] != wanted).any():
+                raise ValueError("a token crosses two pieces")
+            cuts = cuts.tolist()
+            for piece, low, high in zip(part, [0, *cuts], cuts):
                 self.known[piece] = ids[low:high].tobytes()
+        alone = [p for p in pieces if p not in self.known]
+        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
