@@ -2,8 +2,8 @@
 
 A text is cut into sentences; every run of three consecutive ones is hashed, the hashes meet across the corpus, and
 each run's first place (smallest doc_id, then first in the text) is kept. A sentence that any other occurrence of a
-repeated run covers is removed. Long sentences are cut after every 12 words, so that a repeated passage of over 50
-words holds a whole run wherever its sentences end.
+repeated run covers is removed. Long sentences are cut into pieces of 4 to 12 words where their own words say, so that
+cuts fall alike in a repeated passage whatever stands before it in its sentence, and one of over 50 words nearly always holds a whole run.
 """
 
 from __future__ import annotations
@@ -21,6 +21,36 @@ from lodestrata.llm.common import stored
 #: A sentence: up to its closing marks or line end, with the blanks that follow.
 _SENTENCE = re.compile(r"[^.!?\n…。]*(?:[.!?…。]+[\"'”’)\]]*|\n|$)\s*")
 _WORD = re.compile(r"\S+\s*")
+#: Words of the shortest piece of a long sentence.
+LEAST_WORDS = 4
+
+
+def _cuts(words: list[str], most: int) -> list[int]:
+    """Places before which a long sentence is cut: where a word and the one before it have the least hash of seven places.
+
+    What lies over ``most`` words apart is cut again, each time at the least hash from 4 to ``most`` words on. So all
+    cuts after the first place that three words on either side decide depend on the words since that place alone.
+    """
+    digest, n = xxhash.xxh32_intdigest, len(words)
+    hashes = [0, *(digest(f"{a} {b}") for a, b in zip(words, words[1:]))]
+    out, last, p = [], 0, LEAST_WORDS
+    while p <= n:
+        if p > n - LEAST_WORDS:
+            p = n
+        else:
+            left, right = min(hashes[p - LEAST_WORDS + 1 : p]), min(hashes[p + 1 : p + LEAST_WORDS])
+            if hashes[p] >= left or hashes[p] > right:
+                p += 1
+                continue
+        while p - last > most:
+            low, high = last + LEAST_WORDS, min(last + most, p - LEAST_WORDS)
+            last = min(range(low, high + 1), key=hashes.__getitem__)
+            out.append(last)
+        if p == n:
+            return out
+        out.append(p)
+        last, p = p, p + LEAST_WORDS
+    return out
 
 
 def sentences(text: str, most_words: int = 12) -> list[str]:
@@ -34,7 +64,8 @@ def sentences(text: str, most_words: int = 12) -> list[str]:
         if words > most_words:
             parts = _WORD.findall(piece)
             lead = piece[: len(piece) - sum(map(len, parts))]
-            groups = ["".join(parts[k : k + most_words]) for k in range(0, len(parts), most_words)]
+            places = [0, *_cuts(piece.lower().split(), most_words), len(parts)]
+            groups = ["".join(parts[a:b]) for a, b in zip(places, places[1:])]
             groups[0] = lead + groups[0]
             out += groups
         elif words or not out:
