@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style|\Z)", re.I | re.S)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT_BLOCK = re.compile(r"@[^{;]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"[.#]?-?[A-Za-z_][\w-]*")
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,62 +180,125 @@ class _Flow:
 
 
 class _Table:
+    """Rows of cells; a cell is a box of lines, with the columns and rows that it spans."""
+
     def __init__(self) -> None:
-        self.rows: list[list[tuple[str, int, int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
 
-    def lines(self) -> list[str]:
-        """Rows with cells padded to their columns; a cell over several columns widens the last of them if it must."""
-        grid: list[dict[int, tuple[str, int]]] = []
-        taken: dict[tuple[int, int], bool] = {}
+    def _placed(self) -> list[tuple[int, int, int, int, list[str]]]:
+        """(row, column, across, down, lines) of each cell, moved right of what reaches down from the rows above."""
+        out = []
+        reaching: list[tuple[int, int, int]] = []  # columns from, to, and the row where the cell has ended
         for r, row in enumerate(self.rows):
-            grid.append({})
-            c = 0
-            for text, across, down in row:
-                while (r, c) in taken:
-                    c += 1
-                grid[r][c] = (text, across)
-                for dr in range(min(down, len(self.rows) - r)):
-                    for dc in range(across):
-                        taken[r + dr, c + dc] = True
+            reaching = sorted(x for x in reaching if x[2] > r)
+            c, k = 0, 0
+            fresh = []
+            for lines, across, down in row:
+                while k < len(reaching) and reaching[k][0] <= c:
+                    c = max(c, reaching[k][1])
+                    k += 1
+                down = min(down, len(self.rows) - r)
+                out.append((r, c, across, down, lines))
+                if down > 1:
+                    fresh.append((c, c + across, r + down))
                 c += across
+            reaching += fresh
+        return out
+
+    def lines(self) -> list[str]:
+        """Boxes side by side, padded to their columns and rows; one over several columns or rows widens the last of them if it must."""
+        cells = self._placed()
         widths: dict[int, int] = {}
+        heights = [0] * len(self.rows)
         for span in (False, True):
-            for row in grid:
-                for c, (text, across) in row.items():
-                    if (across > 1) == span:
-                        have = sum(widths.get(c + k, 0) for k in range(across)) + 2 * (across - 1)
-                        if len(text) > have:
-                            widths[c + across - 1] = widths.get(c + across - 1, 0) + len(text) - have
+            for r, c, across, down, lines in cells:
+                if (across > 1) == span:
+                    wide = max(map(len, lines), default=0)
+                    have = sum(widths.get(c + k, 0) for k in range(across)) + 2 * (across - 1)
+                    if wide > have:
+                        widths[c + across - 1] = widths.get(c + across - 1, 0) + wide - have
+                if (down > 1) == span and (short := len(lines) - sum(heights[r : r + down])) > 0:
+                    heights[r + down - 1] += short
         starts, x = {}, 0
-        for c in range(max(widths, default=-1) + 1):
+        named = sorted({c for _, c, _, _, _ in cells} | set(widths))
+        for c in named:
             starts[c] = x
-            x += widths.get(c, 0) + (2 if widths.get(c, 0) else 0)
+            x += widths[c] + 2 if widths.get(c) else 0
+        tops, y = [], 0
+        for h in heights:
+            tops.append(y)
+            y += h
+        canvas: list[list[tuple[int, str]]] = [[] for _ in range(y)]
+        for r, c, _, _, lines in cells:
+            for k, line in enumerate(lines):
+                if line:
+                    canvas[tops[r] + k].append((starts[c], line))
         out = []
-        for row in grid:
+        for parts in canvas:
             line = ""
-            for c, (text, _) in sorted(row.items()):
-                if text:
-                    line = line.ljust(starts[c]) + text
-            if line:
-                out.append(line)
+            for at, text in sorted(parts):
+                line = line.ljust(at) + (" " if len(line) > at and not line.endswith(" ") else "") + text
+            out.append(line)
         return out
 
 
-def _span(value: str | None) -> int:
-    return min(1000, max(1, int(value))) if value and value.isdecimal() and len(value) < 9 else 1
+def _span(value: str | None, most: int) -> int:
+    """Columns or rows that a cell spans, within the limits of the HTML standard."""
+    return min(most, max(1, int(value))) if value and value.isdecimal() and len(value) < 9 else 1
+
+
+def _seen(declarations: str) -> tuple[bool | None, bool | None]:
+    """(displayed, visible) as a style says; None where it says nothing. Of several declarations the last counts."""
+    displayed = visible = None
+    for declaration in declarations.lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, value = name.strip(), value.partition("!")[0].strip()
+        if name == "display" and value:
+            displayed = value != "none"
+        elif name == "visibility" and value in ("hidden", "collapse", "visible"):
+            visible = value == "visible"
+    return displayed, visible
+
+
+def style_rules(page: str) -> dict[str, tuple[bool | None, bool | None]]:
+    """What the page's own style sheets say of display and visibility, by simple selector: a tag, .class or #id.
+
+    Rules of other selectors and within @-blocks are left out, as whether they apply depends on more than the element.
+    """
+    rules: dict[str, tuple[bool | None, bool | None]] = {}
+    for sheet in _STYLE.findall(page):
+        plain = _AT_BLOCK.sub("", _COMMENT.sub("", sheet))
+        for selectors, body in _RULE.findall(plain):
+            displayed, visible = _seen(body)
+            if displayed is None and visible is None:
+                continue
+            for selector in selectors.split(","):
+                if _SIMPLE.fullmatch(name := selector.strip()):
+                    name = name if name[0] in ".#" else name.lower()
+                    old = rules.get(name, (None, None))
+                    rules[name] = (old[0] if displayed is None else displayed, old[1] if visible is None else visible)
+    return rules
 
 
 def render(page: str | None) -> str:
-    """The visible text of a page; '' for null or a page without visible text."""
+    """The visible text of a page; '' for null or a page without visible text.
+
+    Not shown: what the standard never shows (HIDDEN), the hidden attribute, closed dialogs, display:none, and
+    visibility:hidden unless an element inside is visible again. Styles count if they stand in the element or in a
+    sheet of the page under a simple selector; scripts aren't run. Contents of closed details are shown.
+    """
+    page = page or ""
+    rules = style_rules(page) if "<style" in page.lower() else {}
     flow = _Flow()
     flows = [flow]
     tables: list[_Table] = []
     lists: list[list] = []  # [kind, number of the last item]
     hidden = pre = 0
-    closing: list[tuple[str, bool]] = []  # of each open element: its tag, and whether it hides what it holds
-    for kind, tag, value in events(page or ""):
+    visible = True
+    closing: list[tuple[str, bool, bool]] = []  # of each open element: its tag, whether it hides what it holds, what was visible before
+    for kind, tag, value in events(page):
         if kind == "text":
-            if hidden:
+            if hidden or not visible:
                 continue
             if pre:
                 flow.literal(value)
@@ -240,18 +307,32 @@ def render(page: str | None) -> str:
             continue
         if kind == "open":
             own = attributes(value) if value.strip(" /\n\t") else {}
-            unseen = tag in HIDDEN or "hidden" in own or ("style" in own and bool(_UNSEEN.search(own["style"]))) or (tag == "dialog" and "open" not in own)
+            displayed, shown = None, None
+            if rules:
+                for name in (tag, *(f".{c}" for c in own.get("class", "").split()), f"#{own.get('id', '')}"):
+                    found = rules.get(name, (None, None))
+                    displayed, shown = displayed if found[0] is None else found[0], shown if found[1] is None else found[1]
+            unseen = tag in HIDDEN or (tag == "dialog" and "open" not in own)
+            if displayed is None and "hidden" in own:
+                displayed = False
+            if "style" in own:
+                found = _seen(own["style"])
+                displayed, shown = displayed if found[0] is None else found[0], shown if found[1] is None else found[1]
+            unseen |= displayed is False
             if tag not in VOID:
-                closing.append((tag, unseen))
+                closing.append((tag, unseen, visible))
                 hidden += unseen
             if hidden or unseen:
                 continue
+            before = visible
+            if shown is not None:
+                visible = shown
             if tag == "br":
                 flow.gap |= not flow.now
                 flow.end_line()
             elif tag == "hr":
                 flow.block(True)
-            elif tag == "input" and own.get("type", "").lower() in ("submit", "button", "reset"):
+            elif tag == "input" and own.get("type", "").lower() in ("submit", "button", "reset") and visible:
                 flow.text(f" {own.get('value', '')} ")
             elif tag == "table":
                 flow.block(True)
@@ -259,7 +340,7 @@ def render(page: str | None) -> str:
             elif tag == "tr" and tables:
                 tables[-1].rows.append([])
             elif tag in ("td", "th") and tables:
-                closing[-1] = (f"{tag} {_span(own.get('colspan'))} {_span(own.get('rowspan'))}", False)
+                closing[-1] = (f"{tag} {_span(own.get('colspan'), 1000)} {_span(own.get('rowspan'), 65534)}", False, before)
                 flow = _Flow()
                 flows.append(flow)
             elif tag in BLOCK:
@@ -275,26 +356,32 @@ def render(page: str | None) -> str:
                 elif tag in ("blockquote", "dd"):
                     flow.indent.append("  ")
                 pre += tag == "pre"
+            if tag in VOID:
+                visible = before
             continue
-        name, unseen = closing.pop()
+        name, unseen, before = closing.pop()
         if unseen:
             hidden -= 1
+            visible = before
             continue
         if hidden:
             continue
+        visible = before
         if name.startswith(("td ", "th ")):
             flow.end_line()
             _, across, down = name.split()
-            cell = " ".join(line.strip() for line in flow.lines if line.strip())
             flows.pop()
-            flow = flows[-1]
+            box, flow = flow.lines, flows[-1]
+            while box and not box[-1]:
+                box.pop()
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((cell, int(across), int(down)))
+            tables[-1].rows[-1].append((box, int(across), int(down)))
         elif tag == "table" and tables:
+            flow.block(True)  # what stands in a table outside its cells comes before it
             for line in tables.pop().lines():
                 flow.now.append(line)
-                flow.end_line()
+                flow.end_line(keep=True)
             flow.block(True)
         elif tag in BLOCK:
             flow.block(tag in MARGIN and not (tag in LISTS and len(lists) > 1))

@@ -6,7 +6,8 @@ to a place, the piece that starts first stays; an unknown character costs the lo
 where no single-character piece does; neighbouring unknown characters count as one token unless bytes stand for them.
 
 Words start at blanks, which become the mark U+2581; as no piece holds that mark but at its start, a text's count is
-the sum of its words' counts, and a word is searched once per worker.
+the sum of its words' counts, and a word is searched once per worker. The search holds no more places than the longest
+piece has characters, so its memory doesn't follow a word's length.
 """
 
 from __future__ import annotations
@@ -38,46 +39,51 @@ class CountModel:
             if piece and (MARK not in piece[1:]):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.scores), default=1)
         self.known: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        """Tokens of one word, its mark included."""
-        n = len(word)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (size, score) in self.automaton.iter(word):
-            matches[last + 1].append((last + 1 - size, score))
-        best, count, open_run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        """Tokens of one word, its mark included. Only the places that a piece can still start from are held, in a ring."""
+        n, ring = len(word), self.longest + 1
+        best, count, open_run = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(word)
+        last, (size, score) = next(matches, (n, (0, 0.0)))
         for end in range(1, n + 1):
             top = None
             single = False
-            for start, score in sorted(matches[end]):
-                single |= start == end - 1
-                total = best[start] + score
-                if top is None or total > top:
-                    top, came, unknown = total, start, False
+            if last == end - 1:
+                here = []
+                while last == end - 1:
+                    here.append((size, score))
+                    last, (size, score) = next(matches, (n, (0, 0.0)))
+                if len(here) > 1:
+                    here.sort(reverse=True)
+                for length, worth in here:
+                    total = best[(end - length) % ring] + worth
+                    if top is None or total > top:
+                        top, came, unknown = total, (end - length) % ring, False
+                single = here[-1][0] == 1
             if not single:
-                total = best[end - 1] + self.unknown_score
+                before = (end - 1) % ring
+                total = best[before] + self.unknown_score
                 if top is None or total > top:
-                    top, came, unknown = total, end - 1, True
-            best[end] = top
+                    top, came, unknown = total, before, True
             if not unknown:
-                count[end] = count[came] + 1
+                tokens = count[came] + 1
             elif self.bytes:
-                count[end] = count[came] + len(word[came].encode())
+                tokens = count[came] + len(word[end - 1].encode("utf-8", "surrogatepass"))
             else:
-                count[end] = count[came] + (not open_run[came])
-            open_run[end] = unknown
-        return count[n]
+                tokens = count[came] + (not open_run[came])
+            now = end % ring
+            best[now], count[now], open_run[now] = top, tokens, unknown
+        return count[n % ring]
 
     def count(self, text: str) -> int:
         """Tokens of a text: blanks are marks, one more mark stands in front of a text that has none there."""
         if not text:
             return 0
-        marked = text.replace(" ", MARK)
-        if not marked.startswith(MARK):
-            marked = MARK + marked
         known, total = self.known, 0
-        for word in marked[1:].split(MARK):
+        for word in text.replace(MARK, " ")[text[0] in (" ", MARK) :].split(" "):
             n = known.get(word)
             if n is None:
                 n = self.word(MARK + word)
