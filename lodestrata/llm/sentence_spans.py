@@ -4,6 +4,9 @@ A text is cut into sentences; every run of three consecutive ones is hashed, the
 each run's first place (smallest doc_id, then first in the text) is kept. A sentence that any other occurrence of a
 repeated run covers is removed. Long sentences are cut into pieces of 4 to 12 words where their own words say, so that
 cuts fall alike in a repeated passage whatever stands before it in its sentence, and one of over 50 words nearly always holds a whole run.
+
+Texts go through in batches, as arrays of characters: words, ends of sentences, cuts and hashes are found for all
+texts of a batch side by side.
 """
 
 from __future__ import annotations
@@ -11,98 +14,263 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import stored
 
-#: A sentence: up to its closing marks or line end, with the blanks that follow.
-_SENTENCE = re.compile(r"[^.!?\n…。]*(?:[.!?…。]+[\"'”’)\]]*|\n|$)\s*")
-_WORD = re.compile(r"\S+\s*")
-#: Words of the shortest piece of a long sentence.
+#: Full stops that no blank has to follow; with quotes and brackets after them they end a word as well.
+_STOPS = "。…"
+_INNER = re.compile(r"[。…]+[\"'”’)\]]*(?=\S)")
+_MARKS = ".!?" + _STOPS
+_QUOTES = "\"'”’)]"
+#: Words of the shortest piece of a long sentence, and of the longest.
 LEAST_WORDS = 4
+MOST_WORDS = 12
+#: Characters that go through together (a longer text alone), and that are hashed at once.
+BATCH_CHARS = 1 << 19
+HASH_CHARS = 1 << 18
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_BASES = (0xD1342543DE82EF95, 0xDA942042E4DD58B5)
 
 
-def _cuts(words: list[str], most: int) -> list[int]:
-    """Places before which a long sentence is cut: where a word and the one before it have the least hash of seven places.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _C
+    return x ^ (x >> np.uint64(29))
 
-    What lies over ``most`` words apart is cut again, each time at the least hash from 4 to ``most`` words on. So all
-    cuts after the first place that three words on either side decide depend on the words since that place alone.
-    """
-    digest, n = xxhash.xxh32_intdigest, len(words)
-    hashes = [0, *(digest(f"{a} {b}") for a, b in zip(words, words[1:]))]
-    out, last, p = [], 0, LEAST_WORDS
-    while p <= n:
-        if p > n - LEAST_WORDS:
-            p = n
-        else:
-            left, right = min(hashes[p - LEAST_WORDS + 1 : p]), min(hashes[p + 1 : p + LEAST_WORDS])
-            if hashes[p] >= left or hashes[p] > right:
-                p += 1
-                continue
-        while p - last > most:
-            low, high = last + LEAST_WORDS, min(last + most, p - LEAST_WORDS)
-            last = min(range(low, high + 1), key=hashes.__getitem__)
-            out.append(last)
-        if p == n:
-            return out
-        out.append(p)
-        last, p = p, p + LEAST_WORDS
+
+def _table(characters: str) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    out[[ord(c) for c in characters]] = True
     return out
 
 
-def sentences(text: str, most_words: int = 12) -> list[str]:
-    """The text in pieces that join to it again; each piece but perhaps the first holds a word."""
-    out: list[str] = []
-    for m in _SENTENCE.finditer(text):
-        piece = m.group()
-        if not piece:
+_BLANK = _table("".join(chr(k) for k in range(1 << 16) if chr(k).isspace()))
+_QUOTE, _MARK = _table(_QUOTES), _table(_MARKS)
+
+
+def _characters(codes: np.ndarray, lane: int) -> np.ndarray:
+    return _mix((codes.astype(np.uint64) + np.uint64(1)) * (_A, _B)[lane])
+
+
+_HASHES = [np.where(_BLANK, np.uint64(0), _characters(np.arange(1 << 16), lane)) for lane in (0, 1)]
+_POWERS = [np.cumprod(np.r_[np.uint64(1), np.full(HASH_CHARS - 1, base, np.uint64)]) for base in _BASES]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _lower(text: str) -> str:
+    """The text in lower case, but for the few letters that would become two."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _word_hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each word (from its start to the next one's), blanks aside: sums over its characters, so that a long word is summed up part by part."""
+    out = np.zeros((len(starts), 2), np.uint64)
+    for low in range(0, len(codes), HASH_CHARS):
+        part = codes[low : low + HASH_CHARS]
+        first, end = np.searchsorted(starts, [low, low + len(part)])
+        own = starts[first:end] - low
+        goes_on = first > 0 and (first == end or own[0] > 0)
+        if goes_on:
+            own = np.r_[0, own]
+        if not len(own):
             continue
-        words = len(piece.split())
-        if words > most_words:
-            parts = _WORD.findall(piece)
-            lead = piece[: len(piece) - sum(map(len, parts))]
-            places = [0, *_cuts(piece.lower().split(), most_words), len(parts)]
-            groups = ["".join(parts[a:b]) for a, b in zip(places, places[1:])]
-            groups[0] = lead + groups[0]
-            out += groups
-        elif words or not out:
-            out.append(piece)
-        else:
-            out[-1] += piece
+        part = part[own[0] :]
+        own = own - own[0]
+        turn = np.arange(len(part)) - np.repeat(own, np.diff(np.r_[own, len(part)]))
+        place = np.minimum(part, 0xFFFF)
+        rare = np.flatnonzero(part > 0xFFFF)
+        for lane in (0, 1):
+            value = _HASHES[lane][place]
+            if len(rare):
+                value[rare] = _characters(part[rare], lane)
+            sums = np.add.reduceat(value * _POWERS[lane][turn], own)
+            if goes_on:
+                out[first - 1, lane : lane + 1] += sums[:1] * np.uint64(pow(_BASES[lane], int(low - starts[first - 1]), 1 << 64))
+                sums = sums[1:]
+            out[first:end, lane] = sums
+    return _mix(out)
+
+
+def _places(pairs: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Places before which words are cut: ``starts`` (of the sentences, the last one their end) and cuts inside long sentences.
+
+    A long sentence is cut where a word and the one before it have the least hash of seven places. What lies over
+    ``most`` words apart is cut again, each time at the least hash from 4 to ``most`` words on. So all cuts after the
+    first place that three words on either side decide depend on the words since that place alone.
+    """
+    least = np.ones(len(pairs), bool)
+    for k in range(1, LEAST_WORDS):
+        least[k:] &= pairs[k:] < pairs[:-k]
+        least[:-k] &= pairs[:-k] <= pairs[k:]
+    cuts = np.flatnonzero(least)
+    of = np.searchsorted(starts, cuts, "right") - 1
+    low, high = starts[of], starts[np.minimum(of + 1, len(starts) - 1)]
+    chosen = np.zeros(len(pairs) + 1, bool)
+    chosen[starts] = True
+    chosen[cuts[(cuts - low >= LEAST_WORDS) & (high - cuts >= LEAST_WORDS) & (high - low > most)]] = True
+    places = np.flatnonzero(chosen)
+    more = []
+    for k in np.flatnonzero(np.diff(places) > most).tolist():
+        last, end = int(places[k]), int(places[k + 1])
+        while end - last > most:
+            low = last + LEAST_WORDS
+            last = low + int(pairs[low : min(last + most, end - LEAST_WORDS) + 1].argmin())
+            more.append(last)
+    chosen[more] = True
+    return np.flatnonzero(chosen) if more else places
+
+
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(hashes), np.uint64)
+    out[1:] = _mix(hashes[:-1, 0] * _A + hashes[1:, 0] * _B)
     return out
 
 
-def _run_hashes(pieces: list[str], run: int) -> Iterator[tuple[int, int]]:
-    """Two signed 64-bit halves of a 128-bit hash of each run, blanks and case aside."""
-    plain = [" ".join(p.lower().split()) for p in pieces]
-    for k in range(len(plain) - run + 1):
-        h = xxhash.xxh3_128_intdigest("\n".join(plain[k : k + run]).encode())
-        yield (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+def _cuts(words: list[str], most: int = MOST_WORDS) -> list[int]:
+    """Places inside one sentence before which it is cut."""
+    starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+    return _places(_pairs(_word_hashes(_codes(_lower(" ".join(words))), starts)), np.array([0, len(words)]), most)[1:-1].tolist()
+
+
+def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of every word of the texts in lower case; code is a 64-bit hash."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = _codes("".join(map(_lower, texts)))
+    begins = np.zeros(len(codes) + 1, bool)
+    base = np.cumsum(lengths) - lengths
+    begins[base] = True
+    blank = _BLANK[np.minimum(codes, 0xFFFF)]
+    begins[1:-1] |= blank[:-1]
+    begins[:-1] &= ~blank
+    starts = np.flatnonzero(begins[:-1])
+    text = np.searchsorted(base, starts, "right") - 1
+    return text, _word_hashes(codes, starts)[:, 0]
+
+
+class Pieces:
+    """The pieces of some texts: ``text`` they belong to, ``begin`` and ``end`` in characters, ``words`` in them, two ``lanes`` of hashes.
+
+    A text's pieces join to it again. A text of blanks alone is one piece without words.
+    """
+
+    def __init__(self, texts: list[str], most: int = MOST_WORDS):
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        base = np.cumsum(lengths) - lengths
+        joined = "".join(texts)
+        codes = _codes(joined)
+        n = len(codes)
+        begins = np.zeros(n + 1, bool)
+        begins[base] = True
+        place = np.minimum(codes, 0xFFFF).astype(np.uint16)
+        blank = _BLANK[place]
+        begins[1:n] |= blank[: n - 1]
+        begins[:n] &= ~blank
+        if any(c in joined for c in _STOPS):
+            for k, text in enumerate(texts):
+                if any(c in text for c in _STOPS):
+                    begins[[int(base[k]) + m.end() for m in _INNER.finditer(text)]] = True
+        starts = np.flatnonzero(begins[:n])
+        total = len(starts)
+        # The last characters of the words, and before them what isn't a quote or bracket.
+        lasts = np.flatnonzero(~blank & (np.r_[blank[1:], True] | np.r_[begins[1:n], True])) if n else starts
+        marks = lasts.copy()
+        quoted = np.flatnonzero(_QUOTE[place[marks]])
+        while len(quoted):
+            marks[quoted] -= 1
+            quoted = quoted[marks[quoted] >= starts[quoted]]
+            quoted = quoted[_QUOTE[place[marks[quoted]]]]
+        ends = (marks >= starts) & _MARK[place[marks]]
+        after = np.searchsorted(starts, np.flatnonzero(place == 10)) - 1
+        ends[after[after >= 0]] = True
+        del marks, lasts, blank, place
+        text_of = np.searchsorted(base, starts, "right") - 1 if total else starts
+        firsts = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]]) if total else starts
+        sentences = np.zeros(total + 1, bool)
+        sentences[firsts] = sentences[total] = True
+        sentences[1:] |= ends
+        sentences = np.flatnonzero(sentences)
+        hashes = _word_hashes(_codes("".join(map(_lower, texts))), starts)
+        places = _places(_pairs(hashes), sentences, most) if total else sentences
+        low, high = places[:-1], places[1:]
+        text = text_of[low]
+        size = high - low
+        limit = np.r_[starts, n][high] - base[text]
+        ends_text = np.r_[text[1:] != text[:-1], True] if total else text.astype(bool)
+        end = np.where(ends_text, lengths[text], limit)
+        begin = np.where(np.r_[True, text[1:] != text[:-1]] if total else ends_text, 0, starts[low] - base[text])
+        if total:
+            turn = (np.arange(total) - np.repeat(low, size)).astype(np.uint64)
+            lanes = [np.add.reduceat(_mix(hashes[:, k] + (turn + np.uint64(1)) * c), low) for k, c in ((0, _A), (1, _B))]
+        else:
+            lanes = [np.zeros(0, np.uint64)] * 2
+        wordless = np.ones(len(texts), bool)
+        wordless[text] = False
+        blanks = np.flatnonzero(wordless & (lengths > 0))
+        if len(blanks):
+            none = np.zeros(len(blanks), np.int64)
+            text, begin, end, size = (np.concatenate(x) for x in ((text, blanks), (begin, none), (end, lengths[blanks]), (size, none)))
+            lanes = [np.concatenate([x, none.astype(np.uint64)]) for x in lanes]
+            order = np.argsort(text, kind="stable")
+            text, begin, end, size = text[order], begin[order], end[order], size[order]
+            lanes = [x[order] for x in lanes]
+        self.text, self.begin, self.end, self.words, self.lanes = text, begin, end, size, lanes
+        self.first = np.searchsorted(text, np.arange(len(texts) + 1))  # of each text its first piece
+
+    def runs(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, at, h1, h2) of every run of ``run`` neighbouring pieces of a text; at is its first piece's place in the text."""
+        n = len(self.text) - run + 1
+        if n <= 0:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none
+        same = np.flatnonzero((self.text[:n] == self.text[run - 1 :]) & (self.words[:n] > 0))
+        out = []
+        for lane, c in zip(self.lanes, (_A, _B)):
+            code = np.full(len(same), np.uint64(run))
+            for k in range(run):
+                code = _mix(code * c + lane[same + k])
+            out.append(code.view(np.int64))
+        return self.text[same], same - self.first[self.text[same]], *out
+
+
+def sentences(text: str, most_words: int = MOST_WORDS) -> list[str]:
+    """The text in pieces that join to it again."""
+    found = Pieces([text], most_words)
+    return [text[a:b] for a, b in zip(found.begin.tolist(), found.end.tolist())]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some BATCH_CHARS, a longer text alone."""
+    low, held = 0, 0
+    for k, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if held and held + size > BATCH_CHARS:
+            yield batch.slice(low, k - low)
+            low, held = k, 0
+        held += size
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
 def spans(docs: DataFrame, run: int = 3) -> DataFrame:
     """(h1, h2, i, t, at): every run of sentences; i and t name the document and its text, at is the run's first sentence."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                row, at, h1, h2 = [], [], [], []
-                for k, text in enumerate(part.column(2)):
-                    found = list(_run_hashes(sentences(text.as_py()), run))
-                    row += [k] * len(found)
-                    at += range(len(found))
-                    h1 += [a for a, _ in found]
-                    h2 += [b for _, b in found]
-                index = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), part.column(0).take(index), part.column(1).take(index), pa.array(at, pa.int32())], ["h1", "h2", "i", "t", "at"])
+            for part in _slices(batch, 2):
+                row, at, h1, h2 = Pieces(part.column(2).to_pylist()).runs(run)
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), part.column(0).take(index), part.column(1).take(index), pa.array(at, pa.int32())], ["h1", "h2", "i", "t", "at"])
 
     keyed = _keyed(docs)
     return keyed.mapInArrow(work, f"h1 long, h2 long, i {keyed.schema['i'].dataType.simpleString()}, t long, at int")
@@ -111,9 +279,9 @@ def spans(docs: DataFrame, run: int = 3) -> DataFrame:
 def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed_words, text), one row for each row of docs; text is what is left.
 
-    Texts of fewer than ``run`` sentences hold no run and stay whole; null texts count as empty. Rows that repeat a
-    doc_id and text are one document: their runs repeat only if they do within the text. Rows without doc_id come
-    last. Repeats within a text count: the first place stays. Extra columns are not read.
+    Texts of fewer than ``run`` sentences hold no run and stay whole, as do texts of blanks alone; null texts count as
+    empty. Rows that repeat a doc_id and text are one document: their runs repeat only if they do within the text. Rows
+    without doc_id come last. Repeats within a text count: the first place stays. Extra columns are not read.
     """
     found = spans(docs, run)
     order = F.struct(F.col("i").isNull().alias("last"), "i", "t", "at")
@@ -122,21 +290,33 @@ def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
     repeated, _ = stored(repeated.drop("n"), "repeated")
     later = found.join(repeated, ["h1", "h2"])
     same = F.col("i").eqNullSafe(F.col("first.i")) & (F.col("t") == F.col("first.t")) & (F.col("at") == F.col("first.at"))
-    cuts = later.where(~same).groupBy("i", "t").agg(F.sort_array(F.collect_set("at")).alias("cuts"))
+    cuts = later.where(~same).groupBy("i", "t").agg(F.collect_set("at").alias("cuts"))
     cuts = cuts.select(F.col("i").alias("ci"), F.col("t").alias("ct"), "cuts")
     rows = _keyed(docs)
     rows = rows.join(cuts, rows.i.eqNullSafe(cuts.ci) & (rows.t == cuts.ct), "left").select("i", "text", "cuts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, cut in zip(batch.column(1), batch.column(2)):
-                pieces = sentences(text.as_py())
-                gone = {at + k for at in cut.as_py() or () for k in range(run)}
-                words = sum(len(pieces[k].split()) for k in gone)
-                out.append((len(pieces), len(gone), words, "".join(p for k, p in enumerate(pieces) if k not in gone)))
-            n, cutted, words, kept = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cutted, pa.int64()), pa.array(words, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed_words", "text"])
+            for part in _slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                pieces = Pieces(texts)
+                gone = np.zeros(len(pieces.text) + run, bool)
+                cut = part.column(2)
+                sizes = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False)
+                at = np.repeat(pieces.first[:-1], sizes) + cut.flatten().to_numpy(zero_copy_only=False)
+                for k in range(run):
+                    gone[at + k] = True
+                gone = gone[: len(pieces.text)]
+                first = pieces.first
+                kept = list(texts)
+                for k in np.flatnonzero(sizes).tolist():
+                    own = slice(first[k], first[k + 1])
+                    stays = ~gone[own]
+                    kept[k] = "".join([texts[k][a:b] for a, b in zip(pieces.begin[own][stays].tolist(), pieces.end[own][stays].tolist())])
+                upto = np.concatenate([[0], np.cumsum(gone)])
+                words = np.concatenate([[0], np.cumsum(np.where(gone, pieces.words, 0))])
+                columns = [np.diff(first), np.diff(upto[first]), np.diff(words[first])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(kept, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed_words", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(work, f"doc_id {kind}, n_sentences long, n_removed long, removed_words long, text string")
