@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import contracts, corpus, evaluation, graphs, presentation, retrieval, selection
+from lodestrata.plans import bundles, contracts, corpus, evaluation, files, graphs, presentation, records, retrieval, selection
 from lodestrata.session import ship
 
-MODULES = (retrieval, corpus, evaluation, graphs, selection, presentation, contracts)
+MODULES = (retrieval, corpus, evaluation, graphs, selection, presentation, contracts, bundles, records, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()} | {"stance_classification": graphs.STANCE_CLASSIFICATION}

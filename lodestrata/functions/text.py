@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Runs of word characters, joined by single hyphens or slashes.
+#: Fixed value: runs of word characters, joined by single hyphens or slashes.
 TOKEN = r"(?U)\b[\w]+(?:[-/][\w]+)*\b"
 
 
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility normal form; Spark has no builtin for it."""
-    return texts.str.normalize("NFKC")
+    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype=object)
 
 
 def squeezed(text: Column) -> Column:
@@ -22,9 +24,18 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
+#: Characters that compatibility normalisation leaves as they are, alone or next to each other.
+NORMAL = r"[\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u0482\u2013-\u2015\u2018-\u201E\u3001-\u3029\u4E00-\u9FFF\uAC00-\uD7A3]"
+
+
+def normal(text: Column) -> Column:
+    """The text in compatibility normal form. Texts of NORMAL characters alone are in it and don't leave the JVM."""
+    return F.coalesce(nfkc(F.when(~text.rlike(f"^{NORMAL}*+$"), text)), text)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1)), F.array().cast("array<string>"))
+    """Lower-cased tokens of the text in compatibility normal form; an empty array for null."""
+    return F.coalesce(F.regexp_extract_all(F.lower(normal(text)), F.lit(f"({TOKEN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def text_hash(text: Column) -> Column:

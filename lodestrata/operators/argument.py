@@ -5,46 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.storage import stored
+from lodestrata.storage import discard, stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable, by spreading minima and jumping to the minimum's own minimum.
 
-    edges: (a, b). Each round is written to the shared folder, which cuts lineage and survives lost executors.
+    edges: (a, b). Each round is written to the shared folder, which cuts lineage and survives lost executors; rounds
+    go on until nothing changes. Each join is of two written tables, so adaptive execution splits a hot node's rows.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(rounds):
+    spark = edges.sparkSession
+    both, edge_path = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels, path = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    while True:
         spread = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(spread, "node").select("node", F.least("component", "near").alias("component"))
+        nearer, near_path = stored(labels.join(spread, "node").select("node", F.least("component", "near").alias("component")), "nearer")
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = stored(nearer.join(jump, "component").select("node", F.least("component", "far").alias("component")), "labels")
+        new, new_path = stored(nearer.join(jump, "component").select("node", F.least("component", "far").alias("component")), "labels")
         changed = new.join(labels, "node").where(new.component != labels.component).limit(1).count()
-        labels = new
+        discard(spark, path, near_path)
+        labels, path = new, new_path
         if not changed:
+            discard(spark, edge_path)
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def reachable(steps: DataFrame, rounds: int = 200) -> DataFrame:
-    """(step_id, claim_id, depth): claims that a step's conclusion leads to, cycles included; depth counts steps.
+def closure(links: DataFrame) -> DataFrame:
+    """(a, b, depth): b is reached from a over links (a, b), in ``depth`` of them at least; cycles included.
 
-    steps: (step_id, premises array, conclusion). New pairs only are expanded, so cycles end.
+    A path of up to 2n links is one of exactly n links and a rest of up to n, so rounds double what is known: their
+    number grows with the logarithm of the longest path, and each pair is made about once.
     """
-    links = stored(steps.select(F.explode("premises").alias("premise"), F.col("conclusion").alias("next")).distinct(), "links")
-    front = steps.select("step_id", F.col("conclusion").alias("claim_id"), F.lit(1).alias("depth")).distinct()
-    known = stored(front, "reached")
-    front = known
-    for depth in range(2, rounds + 2):
-        found = front.join(links, front.claim_id == links.premise).select("step_id", F.col("next").alias("claim_id")).distinct()
-        fresh = stored(found.join(known, ["step_id", "claim_id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+    spark = links.sparkSession
+    known, path = stored(links.select("a", "b").distinct().withColumn("depth", F.lit(1)), "reached")
+    reach = 1
+    while True:
+        first = known.where(F.col("depth") == reach).select("a", F.col("b").alias("m"), F.col("depth").alias("d"))
+        rest = known.select(F.col("a").alias("m"), "b", "depth")
+        found = first.join(rest, "m").groupBy("a", "b").agg(F.min(F.col("d") + F.col("depth")).alias("depth"))
+        fresh, fresh_path = stored(found.join(known, ["a", "b"], "left_anti"), "fresh")
         if not fresh.head(1):
+            discard(spark, fresh_path)
             return known
-        known = stored(known.union(fresh), "reached")
-        front = fresh
-    raise RuntimeError(f"reachability did not settle in {rounds} rounds")
+        new, new_path = stored(known.union(fresh), "reached")
+        discard(spark, path, fresh_path)
+        known, path, reach = new, new_path, 2 * reach
+
+
+def reachable(steps: DataFrame) -> DataFrame:
+    """(step_id, claim_id, depth): claims that a step's conclusion leads to, cycles included; depth counts steps.
+
+    steps: (step_id, premises array, conclusion).
+    """
+    links = steps.select(F.explode("premises").alias("a"), F.col("conclusion").alias("b"))
+    further = closure(links).select(F.col("a").alias("conclusion"), "b", "depth")
+    own = steps.select("step_id", "conclusion").distinct()
+    found = own.select("step_id", F.col("conclusion").alias("claim_id"), F.lit(1).alias("depth")).union(own.join(further, "conclusion").select("step_id", "b", F.col("depth") + 1))
+    return found.groupBy("step_id", "claim_id").agg(F.min("depth").alias("depth"))
 
 
 def impacts(steps: DataFrame) -> DataFrame:
@@ -89,8 +106,18 @@ def run_status(rows: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_cutoff(groups: DataFrame, order: list[str], size: str, target: int) -> DataFrame:
-    """Whole groups, in order, up to the cumulative size nearest to the target; none if that is nearer, the fewer if two are equal."""
-    grown = groups.withColumn("cum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(Window.orderBy(*order)))
-    best = grown.agg(F.min_by("k", F.struct(F.abs(F.col("cum") - target).alias("off"), "k")).alias("best"), F.min(F.abs(F.col("cum") - target)).alias("off"))
-    best = best.select(F.when(F.col("off") < target, F.col("best")).otherwise(0).alias("best"))
-    return grown.join(F.broadcast(best), F.col("k") <= F.col("best")).drop("cum", "best", "k")
+    """Whole groups, in order, up to the cumulative size nearest to the target; none if that is nearer, the fewer if two are equal.
+
+    Groups are sorted by ranges and summed up within each; only a sum a range is put in order by one task.
+    """
+    spread = groups.select(F.struct(*[F.col(f"`{c}`") for c in groups.columns]).alias("row"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.col(size).alias("n"))
+    keys = [f"o{k}" for k in range(len(order))]
+    parts, _ = stored(spread.repartitionByRange(*keys).withColumn("p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = parts.groupBy("p").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
+    firsts = firsts.select("p", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))  # a row a range
+    within = Window.partitionBy("p").orderBy(*keys)
+    grown = parts.join(F.broadcast(firsts), "p").select("row", (F.col("s") + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0))).alias("cum"), (F.col("c") + F.row_number().over(within)).alias("k"))
+    best = grown.agg(F.min(F.struct(F.abs(F.col("cum") - target).alias("off"), "k")).alias("b")).first()["b"]
+    last = best["k"] if best is not None and best["off"] < target else 0
+    return grown.where(F.col("k") <= last).select("row.*")

@@ -56,21 +56,30 @@ SECTION_LABELS = (
     "trial registration",
 )
 _LABELS = "|".join(sorted(SECTION_LABELS, key=len, reverse=True))
-#: Private-use characters that mark headings while a text is split.
-OPEN, CLOSE = "\ue000", "\ue001"
+#: Private-use characters that mark headings while a text is split. Where a text has them itself they are spelled out meanwhile.
+OPEN, CLOSE, ESCAPE = "\ue000", "\ue001", "\ue002"
+_SPELLED = ((ESCAPE, ESCAPE + "e"), (OPEN, ESCAPE + "o"), (CLOSE, ESCAPE + "c"))
 SPLITTER = r"(?s).+?(?:[.!?](?=\s|$)|$)"
 BLANKS = r"(?U)^\s+|\s+$"
 
 
 def sections(abstract: Column) -> Column:
     """array<struct<section, text>>: a text with two headings or more is cut at them, another is one section."""
-    marked = F.regexp_replace(abstract, rf"(?i)(?:^|(?<=\s))({_LABELS})\s*:\s*", f"{OPEN}$1{CLOSE}")
+    plain = abstract
+    for mark, spelled in _SPELLED:
+        plain = F.replace(plain, F.lit(mark), F.lit(spelled))
+    marked = F.regexp_replace(plain, rf"(?i)(?:^|(?<=\s))({_LABELS})\s*:\s*", f"{OPEN}$1{CLOSE}")
     pieces = F.split(marked, OPEN, -1)
 
     def cut(piece: Column, k: Column) -> Column:
         name = F.regexp_replace(F.lower(F.substring_index(piece, CLOSE, 1)), r"\s+", "_")
         body = F.when(k == 0, piece).otherwise(F.substring_index(piece, CLOSE, -1))
-        return F.struct(F.when(k == 0, F.lit("abstract")).otherwise(name).alias("section"), F.regexp_replace(body, BLANKS, "").alias("text"))
+        return F.struct(F.when(k == 0, F.lit("abstract")).otherwise(name).alias("section"), F.regexp_replace(restored(body), BLANKS, "").alias("text"))
+
+    def restored(text: Column) -> Column:
+        for mark, spelled in reversed(_SPELLED):
+            text = F.replace(text, F.lit(spelled), F.lit(mark))
+        return text
 
     found = F.filter(F.transform(pieces, cut), lambda s: s["text"] != "")
     whole = F.array(F.struct(F.lit("abstract").alias("section"), F.regexp_replace(abstract, BLANKS, "").alias("text")))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fused(runs: dict[str, DataFrame], query_key: str, doc_key: str, method: str = "rrf", k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
+def fused(runs: dict[str, DataFrame], query_key: str, doc_key: str, method: str = "rrf", k: int = 60, weights: dict[str, float] | None = None, by_rank_sum: bool = True) -> DataFrame:
     """Runs (query, document, rank, score), by alias, joined into one ranking.
 
     rrf: sum of weight / (k + rank) over the sources. union: no score but one less for each place; order by best rank,
     then by more sources, then by the sum of ranks. Columns {alias}_rank and {alias}_score keep where a row came from;
-    source_mask has a bit for each source in the order given. Sums run in that order too, so ties are exact.
+    source_mask has a bit for each source in the order given. Sums run in that order too, so ties are exact. Without
+    ``by_rank_sum`` the sum of ranks doesn't count in the order, as for sentences.
     """
     weights = weights or {}
     tagged = None
@@ -28,7 +29,7 @@ def fused(runs: dict[str, DataFrame], query_key: str, doc_key: str, method: str
         score = score + part
     whole = Window.partitionBy(query_key)
     if method == "rrf":
-        order = whole.orderBy(F.desc("fusion_score"), F.desc("source_count"), "best_rank", "rank_sum", doc_key)
+        order = whole.orderBy(F.desc("fusion_score"), F.desc("source_count"), "best_rank", *(["rank_sum"] if by_rank_sum else []), doc_key)
         return merged.withColumn("fusion_score", score).withColumn("fusion_rank", F.row_number().over(order))
     if method != "union":
         raise ValueError(f"no such method: {method}")
@@ -54,11 +55,24 @@ def set_difference(before: DataFrame, after: DataFrame, keys: list[str]) -> Data
 
 
 def direction_accuracy(scored: DataFrame, query_key: str = "query_id") -> DataFrame:
-    """(pairs, correct, ties, accuracy) over pairs of a query's rows of which one has the higher grade."""
-    high = scored.select(query_key, F.col("grade").alias("hg"), F.col("score").alias("hs"))
-    low = scored.select(query_key, F.col("grade").alias("lg"), F.col("score").alias("ls"))
-    pairs = high.join(low, query_key).where("hg > lg")
-    out = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.expr("hs > ls")).alias("correct"), F.count_if(F.expr("hs = ls")).alias("ties"))
+    """(pairs, correct, ties, accuracy) over pairs of a query's rows of which one has the higher grade.
+
+    Pairs aren't made: rows are counted by grade and score, and for each such count the lower grades below and at its
+    score are summed up in order, so the work grows with the rows.
+    """
+    cells = scored.groupBy(query_key, "grade", "score").agg(F.count("*").alias("n"))
+    grades = [r[0] for r in cells.select("grade").distinct().orderBy("grade").collect()]  # a few grades
+    upto = Window.partitionBy(query_key).orderBy("score").rangeBetween(Window.unboundedPreceding, 0)
+    level = Window.partitionBy(query_key, "score")
+    whole = Window.partitionBy(query_key)
+    pairs, correct, ties = F.lit(0), F.lit(0), F.lit(0)
+    for g in grades:
+        lower = F.when(F.col("grade") < g, F.col("n")).otherwise(0)
+        own = F.when(F.col("grade") == g, F.col("n")).otherwise(0)
+        here, below, every = F.sum(lower).over(level), F.sum(lower).over(upto), F.sum(lower).over(whole)
+        pairs, ties, correct = pairs + own * every, ties + own * here, correct + own * (below - here)
+    out = cells.select(pairs.alias("p"), correct.alias("c"), ties.alias("t"))
+    out = out.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in (("p", "pairs"), ("c", "correct"), ("t", "ties"))])
     return out.withColumn("accuracy", F.try_divide(F.col("correct").cast("double"), F.col("pairs")))
 
 

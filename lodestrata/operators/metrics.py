@@ -32,12 +32,22 @@ def judged_metrics(ranked: DataFrame, query_key: str = "claim_id") -> DataFrame:
 
 
 def pairwise_accuracy(ranked: DataFrame, query_key: str = "claim_id") -> DataFrame:
-    """Per query: share of pairs of unlike grades that the scores order rightly; a tie counts half, no pair gives no row."""
-    left = ranked.select(query_key, F.col("rank").alias("lr"), F.col("grade").alias("lg"), F.col("score").alias("ls"))
-    right = ranked.select(query_key, F.col("rank").alias("rr"), F.col("grade").alias("rg"), F.col("score").alias("rs"))
-    pairs = left.join(right, query_key).where("lr < rr and lg <> rg")
-    credit = F.when(F.col("ls") == F.col("rs"), 0.5).when((F.col("ls") > F.col("rs")) == (F.col("lg") > F.col("rg")), 1.0).otherwise(0.0)
-    return pairs.groupBy(query_key).agg(F.avg(credit).alias("pairwise_accuracy"), F.count("*").alias("pairs"))
+    """Per query: share of pairs of unlike grades that the scores order rightly; a tie counts half, no pair gives no row.
+
+    Counted from rows by grade and score, in order, without making the pairs.
+    """
+    cells = ranked.groupBy(query_key, "grade", "score").agg(F.count("*").alias("n"))
+    grades = [r[0] for r in cells.select("grade").distinct().orderBy("grade").collect()]  # a few grades
+    upto = Window.partitionBy(query_key).orderBy("score").rangeBetween(Window.unboundedPreceding, 0)
+    level, whole = Window.partitionBy(query_key, "score"), Window.partitionBy(query_key)
+    pairs, credit = F.lit(0), F.lit(0.0)
+    for g in grades:
+        lower = F.when(F.col("grade") < g, F.col("n")).otherwise(0)
+        own = F.when(F.col("grade") == g, F.col("n")).otherwise(0)
+        here, below, every = F.sum(lower).over(level), F.sum(lower).over(upto), F.sum(lower).over(whole)
+        pairs, credit = pairs + own * every, credit + own * (below - here + 0.5 * here)
+    out = cells.select(query_key, pairs.alias("p"), credit.alias("c")).groupBy(query_key).agg(F.sum("c").alias("c"), F.sum("p").cast("long").alias("pairs")).where("pairs > 0")
+    return out.select(query_key, (F.col("c") / F.col("pairs")).alias("pairwise_accuracy"), "pairs")
 
 
 def open_metrics(positives: DataFrame, run: DataFrame, query_key: str, doc_key: str, depths: Iterable[int] = (10, 50, 100)) -> DataFrame:
@@ -62,6 +72,50 @@ def rank_buckets(positives: DataFrame, run: DataFrame, query_key: str, doc_key:
     return found.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def recall_audit(positives: DataFrame, run: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+    """One row: recall at 10, 50 and 100 (means over queries), whether it stands still from 10 on, and whether all positives found are among the first ten."""
+    per = open_metrics(positives, run, query_key, doc_key, (10, 50, 100))
+    out = per.agg(*[F.round(F.avg(f"recall_at_{k}"), 8).alias(f"recall_at_{k}") for k in (10, 50, 100)])
+    buckets = rank_buckets(positives, run, query_key, doc_key)
+    late = buckets.agg(F.coalesce(F.sum(F.when(F.col("bucket").isin("011-050", "051-100"), F.col("n"))), F.lit(0)).alias("late"))
+    plateau = (F.col("recall_at_10") == F.col("recall_at_50")) & (F.col("recall_at_50") == F.col("recall_at_100"))
+    return out.join(F.broadcast(late)).select("recall_at_10", "recall_at_50", "recall_at_100", plateau.alias("recall_plateau"), (F.col("late") == 0).alias("all_found_in_top10"))
+
+
+def recall_gaps(positives: DataFrame, run: DataFrame, reference: DataFrame, query_key: str, doc_key: str, share: float = 0.9) -> DataFrame:
+    """One row: positives that only the reference run finds, where they stand there, and whether that looks like lists never probed (at least ``share`` of them at its top).
+
+    Only queries that both runs have count.
+    """
+    shared = run.select(query_key).distinct().join(reference.select(query_key).distinct(), query_key)
+    keys = [query_key, doc_key]
+    gold = positives.select(*keys).distinct().join(shared, query_key)
+    both = gold.join(run.select(*keys, F.col("rank").alias("own")), keys, "left").join(reference.select(*keys, F.col("rank").alias("other")), keys, "left")
+    gained = F.col("own").isNull() & F.col("other").isNotNull()
+    r = F.col("other")
+    out = both.agg(F.countDistinct(query_key).alias("shared_queries"), F.count_if(gained).alias("gained"), F.count_if(gained & (r <= 10)).alias("gained_top10"), F.count_if(gained & (r > 10) & (r <= 50)).alias("gained_11_50"), F.count_if(gained & (r > 50)).alias("gained_later"))
+    top = F.try_divide(F.col("gained_top10").cast("double"), F.col("gained"))
+    return out.withColumns({"top10_share": F.round(top, 8), "looks_like_unprobed_lists": F.coalesce(top >= share, F.lit(False))})
+
+
+def run_comparison(runs: dict[str, DataFrame], judged: DataFrame, positives: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+    """A row for each run: MRR, nDCG at 5 and top-1 rate over its judged documents, pairwise accuracy, recall of known positives.
+
+    runs: (query, document, rank, score); judged: (query, document, grade); ranks among judged documents are made anew.
+    """
+    out = None
+    for name, run in runs.items():
+        place = Window.partitionBy(query_key).orderBy("rank")
+        ranked = judged.join(run.select(query_key, doc_key, "rank", "score"), [query_key, doc_key]).withColumn("rank", F.row_number().over(place))
+        per = judged_metrics(ranked, query_key).where("positives > 0")
+        first = per.agg(F.round(F.avg("mrr"), 8).alias("mrr"), F.round(F.avg("ndcg_at_5"), 8).alias("ndcg_at_5"), F.round(F.avg((F.col("top1_grade") > 0).cast("double")), 8).alias("top1_positive_rate"))
+        pairs = pairwise_accuracy(ranked, query_key).agg(F.round(F.avg("pairwise_accuracy"), 8).alias("pairwise_accuracy"))
+        opened = open_metrics(positives, run, query_key, doc_key).agg(*[F.round(F.avg(m), 8).alias(m) for m in ("recall_at_10", "recall_at_50", "recall_at_100", "hit_at_100")])
+        one = first.join(pairs).join(opened).select(F.lit(name).alias("run"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def aspect_metrics(links: DataFrame, run: DataFrame, query_key: str = "query_id", item_key: str = "idx", k: int = 5) -> DataFrame:
     """Per query: aspects covered by the first k, precision of the first k, reciprocal rank of the first useful item.
 
@@ -129,6 +183,13 @@ def confusion(rows: DataFrame, classes: list[str], gold: str = "gold", pred: str
     return out.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def classification_summary(rows: DataFrame, classes: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """One row: rows, accuracy, macro-F1 and balanced accuracy (the mean recall) over the classes, absent ones counting 0."""
+    per = confusion(rows, classes, gold, pred).agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"))
+    whole = rows.agg(F.count("*").alias("n"), F.avg((F.col(gold) == F.col(pred)).cast("double")).alias("accuracy"))
+    return whole.join(F.broadcast(per)).select("n", "accuracy", "macro_f1", "balanced_accuracy")
+
+
 def cover_size(sets: Iterable[Iterable]) -> int:
     """How few of the sets cover all their elements: branch and bound over bit masks, with dominated sets left out."""
     names: dict = {}

@@ -37,7 +37,7 @@ def _mapped(value: Column, names: dict[str, str]) -> Column:
 
 def evidence_type(value: Column) -> Column:
     """A kind of evidence; wording that isn't known is mixed_or_other, never an error."""
-    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), "[- ]", "_")
+    plain = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")), "[- ]", "_")
     found = F.coalesce(_mapped(plain, EVIDENCE_ALIASES), plain)
     return F.when(found.isin(*EVIDENCE_TYPES), found).otherwise("mixed_or_other")
 

@@ -32,10 +32,36 @@ def batched(rows: DataFrame, partition: str, order: str, size: int) -> DataFrame
     return rows.withColumn("batch", F.floor(place / size))
 
 
+def chosen_rows(rows: DataFrame, order: str, group: str, offset: int = 0, limit: int | None = None, group_offset: int = 0, group_limit: int | None = None) -> DataFrame:
+    """Rows by their place in order, or the rows of groups by the place of their first row; both at once is an error."""
+    if min(offset, group_offset) < 0 or any(x is not None and x <= 0 for x in (limit, group_limit)):
+        raise ValueError("offsets can't be negative, limits must be positive")
+    by_row, by_group = offset or limit is not None, group_offset or group_limit is not None
+    if by_row and by_group:
+        raise ValueError("choose rows or groups, not both")
+    if by_row:
+        out = rows.orderBy(order).offset(offset)
+        return out if limit is None else out.limit(limit)
+    if not by_group:
+        return rows
+    firsts = rows.groupBy(group).agg(F.min(order).alias("first_place")).orderBy("first_place").offset(group_offset)
+    firsts = firsts if group_limit is None else firsts.limit(group_limit)
+    return rows.join(firsts.select(group), group, "left_semi")
+
+
+def cut(ranked: DataFrame, track: str, rank: str, k: int) -> DataFrame:
+    """Rows of a judged track whole, of an open one the first k ranks only."""
+    return ranked.where((F.col(track) == "judged") | (F.col(rank) <= k))
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """(column, nulls, distinct) of every column, in one pass over the table for the nulls and one for the distinct values."""
-    facts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in df.columns], *[F.countDistinct(c).alias(f"d_{c}") for c in df.columns])
-    return facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distinct")) for c in df.columns])))
+    """(column, nulls, distinct) of every column. Each column's values are made distinct before they are shuffled, column by column, so a row isn't multiplied."""
+    out = None
+    for c in df.columns:
+        values = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n"))
+        one = values.agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct")).select(F.lit(c).alias("column"), "nulls", "distinct")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def json_keys(df: DataFrame, column: str) -> DataFrame:

@@ -13,7 +13,7 @@ ALIASES = {"supports": "support", "supported": "support", "refutes": "refute", "
 
 def canonical_stance(label: Column) -> Column:
     """The stance a label spells; an unknown label is an error."""
-    plain = F.lower(F.trim(label))
+    plain = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
     pairs = [F.lit(x) for pair in ALIASES.items() for x in pair]
     found = F.coalesce(F.try_element_at(F.create_map(*pairs), plain), plain)
     return F.when(found.isin(*STANCES), found).otherwise(F.raise_error(F.concat(F.lit("unknown stance: "), F.coalesce(label, F.lit("null")))).cast("string"))

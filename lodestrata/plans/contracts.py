@@ -32,7 +32,7 @@ def integral_labels(spark, d):
 
 def aspect_maps(spark, d):
     raw = F.create_map(F.lit("a"), F.transform(F.array("l_suppkey", "l_linenumber", "l_suppkey"), lambda x: x.cast("string")))
-    return table(spark, d, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", F.array_join(contracts.aspect_map(raw)["a"].cast("array<string>"), ",").alias("items"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(contracts.aspect_map(raw)["a"].cast("array<string>"), ",").alias("items"))
 
 
 def asymmetric_links(spark, d):
@@ -79,7 +79,7 @@ def translations(spark, d):
 
 
 def _two_runs(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    rows = table(spark, d, "lineitem")
     rank = lambda c: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(c, "l_linenumber"))
     return rows.withColumn("rank", rank("l_linenumber")), rows.withColumn("rank", rank(F.floor(F.col("l_quantity") / 25)))
 
@@ -89,8 +89,8 @@ def first_mismatches(spark, d):
 
 
 def capped_direction(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("q"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), (F.col("l_returnflag") == "R").alias("gold"), F.col("l_quantity").alias("score")).where("item % 13 = 0")
-    return contracts.capped_direction(rows, "q", "item", 1000).withColumn("accuracy", F.round("accuracy", 6))
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("q"), (F.col("l_orderkey") * 10**8 + F.col("l_linenumber") * 10**7 + F.col("l_partkey")).alias("item"), (F.col("l_returnflag") == "R").alias("gold"), F.col("l_quantity").alias("score"))
+    return contracts.capped_direction(rows, "q", "item").withColumn("accuracy", F.round("accuracy", 6))
 
 
 def cached_usage(spark, d):
@@ -112,7 +112,7 @@ ORACLE = {
     "json_object_entries": "SELECT CAST(item_id AS VARCHAR) AS key, text AS value FROM benchmark WHERE item_id BETWEEN 3 AND 9",
     "nested_passages": "SELECT DISTINCT CAST(length(text) AS INTEGER) AS chars FROM conversations",
     "integral_labels": "SELECT CAST(quality AS INTEGER) AS label, count(*) AS n FROM labels GROUP BY 1",
-    "aspect_maps": "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey = l_linenumber THEN CAST(l_suppkey AS VARCHAR) ELSE l_suppkey || ',' || l_linenumber END AS items FROM lineitem WHERE l_orderkey < 200",
+    "aspect_maps": "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey = l_linenumber THEN CAST(l_suppkey AS VARCHAR) ELSE l_suppkey || ',' || l_linenumber END AS items FROM lineitem",
     "asymmetric_links": """WITH r AS (SELECT l_orderkey % 5000 AS q, l_suppkey % 7 AS a, l_linenumber AS i, l_quantity AS n FROM lineitem), f AS (SELECT DISTINCT q, a, i FROM r WHERE n < 30), b AS (SELECT DISTINCT q, a, i FROM r WHERE n >= 20)
         SELECT * FROM (SELECT 'forward' AS missing_in, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM f) UNION ALL SELECT 'reverse', count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM b)) WHERE n > 0""",
     "prompt_citations": """WITH i AS (SELECT conv_id, turn, printf('S%02d', row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS alias FROM conversations), c AS (SELECT DISTINCT conv_id, unnest([0, 1]) AS position FROM conversations)
@@ -122,12 +122,13 @@ ORACLE = {
     "applicability_checks": """SELECT CASE WHEN o_orderkey % 11 = 0 AND (o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0) THEN 'statuses' WHEN o_orderkey % 5 = 0 THEN 'issues' ELSE 'sound' END AS problem, count(*) AS n FROM orders GROUP BY 1""",
     "gap_checks": "SELECT CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 6 <> 0 THEN 'missing fields' ELSE 'sound' END AS problem, count(*) AS n FROM orders GROUP BY 1",
     "translations": "SELECT n_nationkey, reverse(n_name) AS n_name FROM nation",
-    "first_mismatches": """WITH a AS (SELECT l_orderkey, l_linenumber AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rank FROM lineitem WHERE l_orderkey <= 2000),
-        b AS (SELECT l_orderkey, l_linenumber AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity / 25), l_linenumber) AS rank FROM lineitem WHERE l_orderkey <= 2000)
+    "first_mismatches": """WITH a AS (SELECT l_orderkey, l_linenumber AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rank FROM lineitem),
+        b AS (SELECT l_orderkey, l_linenumber AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity / 25), l_linenumber) AS rank FROM lineitem)
         SELECT l_orderkey, min(CASE WHEN x <> y THEN rank END) AS first_mismatch_rank FROM a JOIN b USING (l_orderkey, rank) GROUP BY 1""",
-    "capped_direction": """WITH r AS (SELECT l_suppkey % 20 AS q, l_orderkey * 10 + l_linenumber AS item, l_returnflag = 'R' AS gold, l_quantity AS score FROM lineitem WHERE (l_orderkey * 10 + l_linenumber) % 13 = 0),
-        p AS (SELECT g.q, g.score AS s, o.score AS t, row_number() OVER (PARTITION BY g.q ORDER BY g.item, o.item) AS k FROM r g JOIN r o ON g.q = o.q AND g.gold AND NOT o.gold)
-        SELECT q, count(*) AS pairs, round(avg((s > t)::INT), 6) AS accuracy FROM p WHERE k <= 1000 GROUP BY 1""",
+    "capped_direction": """WITH r AS (SELECT l_suppkey % 20 AS q, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS item, l_returnflag = 'R' AS gold, l_quantity AS score FROM lineitem),
+        n AS (SELECT *, row_number() OVER (PARTITION BY q, gold ORDER BY item) - 1 AS k, count(*) FILTER (WHERE NOT gold) OVER (PARTITION BY q) AS m FROM r),
+        p AS (SELECT g.q, g.score AS s, o.score AS t FROM n g JOIN n o ON g.q = o.q AND g.gold AND NOT o.gold AND g.k * g.m < 5000 AND o.k < 5000 AND g.k * g.m + o.k < 5000)
+        SELECT q, count(*) AS pairs, round(avg((s > t)::INT), 6) AS accuracy FROM p GROUP BY 1""",
     "cached_usage": """SELECT count(*) FILTER (WHERE item_id % 3 > 0) AS completed, count(*) FILTER (WHERE item_id % 3 = 0) AS missing, CAST(sum(length(text)) FILTER (WHERE item_id % 3 > 0) AS BIGINT) AS input_tokens,
         CAST(sum(item_id) FILTER (WHERE item_id % 3 > 0) AS BIGINT) AS output_tokens FROM benchmark""",
     "presentation_claims": f"""WITH {STEPS}, u AS (SELECT claim_id, evidence_status, claim_id IN (SELECT premise FROM links) AS p, claim_id IN (SELECT next FROM links) AS c FROM claims),

@@ -8,13 +8,13 @@ from lodestrata.operators import fusion, metrics, sparse
 from lodestrata.plans.retrieval import POOL, _pools
 from lodestrata.plans.roles import BM25, JUDGMENTS, judgments, table
 
-# The three runs: BM25, documents by length near the query's, and documents by a hash, all 50 deep; they stand for
-# retrievers of which only the ranking matters here.
+# Two runs, 50 deep: BM25, and judged documents by a number from their id; the latter stands for a retriever of which
+# only the ranking matters here. fusion_of_three adds one more.
 
 
 def _runs(spark, d):
     docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    bm25 = sparse.top_k(sparse.scored(docs, queries), "item_id", "doc_id", 50)
+    bm25 = sparse.search(docs, queries, 50)
     judged = judgments(spark, d).select(F.col("claim_id").alias("item_id"), "doc_id", "grade")
     quality = sparse.top_k(judged.withColumn("score", (F.col("doc_id") * 7919 % 1000).cast("double")), "item_id", "doc_id", 50).drop("grade")
     return {"bm25": bm25, "judged": quality}
@@ -149,15 +149,71 @@ def failure_cases(spark, d):
     return out.select("claim_id", "failures", F.array_join(F.transform("top5", lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["grade"].cast("string"))), " ").alias("top5"))
 
 
+def _length_run(spark, d):
+    """A third run: judged documents by their length."""
+    rows = judgments(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return sparse.top_k(rows.select(F.col("claim_id").alias("item_id"), "doc_id", F.col("n_chars").cast("double").alias("score")), "item_id", "doc_id", 50)
+
+
+def fusion_of_three(spark, d):
+    runs = _runs(spark, d) | {"length": _length_run(spark, d)}
+    out = fusion.fused(runs, "item_id", "doc_id")
+    return _rounded(out, "fusion_score").select("item_id", "doc_id", "source_mask", "source_count", "fusion_score", "fusion_rank")
+
+
+def sentence_fusion(spark, d):
+    """Turns of a conversation by two runs; of equals the first in the text stands ahead."""
+    runs = {"bm25": _pool_run(spark, d), "length": _turn_run(spark, d)}
+    out = fusion.fused(runs, "query_id", "idx", k=10, by_rank_sum=False)
+    return _rounded(out, "fusion_score").select("query_id", "idx", "source_mask", "fusion_score", "fusion_rank")
+
+
+def cut_tracks(spark, d):
+    """The fused order as a judged run, kept whole, and as an open one, cut at ten."""
+    from lodestrata.operators import selection
+
+    out = fusion.fused(_runs(spark, d), "item_id", "doc_id").select("item_id", "doc_id", "fusion_rank")
+    rows = out.withColumn("track", F.explode(F.array(F.lit("judged"), F.lit("open"))))
+    return selection.cut(rows, "track", "fusion_rank", 10).groupBy("track").agg(F.count("*").alias("n"), F.max("fusion_rank").alias("deepest"))
+
+
+def run_comparison(spark, d):
+    runs = {"judged": _runs(spark, d)["judged"], "length": _length_run(spark, d)}
+    judged = judgments(spark, d).select(F.col("claim_id").alias("item_id"), "doc_id", "grade")
+    positives = judgments(spark, d).where("grade > 0 and not is_origin").select(F.col("claim_id").alias("item_id"), "doc_id")
+    return metrics.run_comparison(runs, judged, positives, "item_id", "doc_id")
+
+
+def recall_audit(spark, d):
+    gold = judgments(spark, d).where("grade > 0").select(F.col("claim_id").alias("item_id"), "doc_id")
+    return metrics.recall_audit(gold, _runs(spark, d)["judged"], "item_id", "doc_id")
+
+
+def recall_gaps(spark, d):
+    """Positives that a run lacks, as two in five documents were never searched."""
+    gold = judgments(spark, d).where("grade > 0").select(F.col("claim_id").alias("item_id"), "doc_id")
+    reference = _runs(spark, d)["judged"]
+    return metrics.recall_gaps(gold, reference.where("doc_id % 5 < 3"), reference, "item_id", "doc_id")
+
+
+def stance_classification(spark, d):
+    """Predicted stances against those of the judgments, in three classes."""
+    from lodestrata.plans.graphs import _predictions
+
+    gold = judgments(spark, d).select(F.col("doc_id").alias("input_id"), F.when(F.col("stance") > 0, "support").when(F.col("stance") < 0, "refute").otherwise("insufficient").alias("gold"))
+    rows = _predictions(spark, d).select("input_id", F.col("label").alias("pred")).join(gold, "input_id")
+    return _rounded(metrics.classification_summary(rows, ["support", "refute", "insufficient"]), "accuracy", "macro_f1", "balanced_accuracy")
+
+
 def confusion_matrix(spark, d):
     rows = table(spark, d, "labels").select(F.col("quality").cast("string").alias("gold"), (1 - F.col("toxic")).cast("string").alias("pred"))
     return _rounded(metrics.confusion(rows, ["0", "1"]), "precision", "recall", "f1")
 
 
 def _aspects(spark, d):
-    """Aspects of a conversation: the first letters of its turns' texts; a turn covers the letters of its first words."""
+    """Aspects of a conversation: the first letters of all words of its turns; a turn covers the letters of its words."""
     turns = table(spark, d, "conversations").where("turn > 0")
-    letters = F.explode(F.array_distinct(F.transform(F.slice(F.split("text", " "), 1, 3), lambda w: F.lower(F.substring(w, 1, 1)))))
+    letters = F.explode(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.lower(F.substring(w, 1, 1)))))
     return turns.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("idx"), letters.alias("aspect")).where("aspect rlike '^[a-z]$'")
 
 
@@ -172,7 +228,7 @@ def _turn_run(spark, d):
     return sparse.top_k(run, "query_id", "idx", None)
 
 
-ASPECTS = f"""{POOL}, lk AS (SELECT DISTINCT conv_id AS query_id, turn AS idx, lower(substr(w, 1, 1)) AS aspect FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')[1:3]) AS w FROM conversations WHERE turn > 0)),
+ASPECTS = f"""{POOL}, lk AS (SELECT DISTINCT conv_id AS query_id, turn AS idx, lower(substr(w, 1, 1)) AS aspect FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations WHERE turn > 0)),
 links AS (SELECT * FROM lk WHERE regexp_matches(aspect, '^[a-z]$')),
 run_a AS (SELECT conv_id AS query_id, turn AS idx, rank FROM pool),
 run_b AS (SELECT conv_id AS query_id, turn AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank FROM conversations WHERE turn > 0)"""
@@ -194,14 +250,14 @@ def paired_runs(spark, d):
 
 def bootstrap_interval(spark, d):
     rows = table(spark, d, "labels").select((F.col("doc_id") % 50).alias("cluster"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
-    return _rounded(metrics.bootstrap_interval(rows, "cluster", "delta", 200), "low", "mean", "high", "share_positive")
+    return _rounded(metrics.bootstrap_interval(rows, "cluster", "delta", 5000), "low", "mean", "high", "share_positive")
 
 
 def optimal_set_cover(spark, d):
     return metrics.set_cover(_aspects(spark, d))
 
 
-QUERIES = [rrf_fusion, union_fusion, union_sizes, source_masks, union_ceiling, rerank_order, rerank_set_difference, score_direction, score_moments, judged_metrics, judged_metrics_by_track, pairwise_accuracy, open_metrics, rank_buckets, query_eligibility, failure_cases, confusion_matrix, aspect_metrics, run_complementarity, paired_runs, bootstrap_interval, optimal_set_cover]
+QUERIES = [fusion_of_three, sentence_fusion, cut_tracks, run_comparison, recall_audit, recall_gaps, stance_classification, rrf_fusion, union_fusion, union_sizes, source_masks, union_ceiling, rerank_order, rerank_set_difference, score_direction, score_moments, judged_metrics, judged_metrics_by_track, pairwise_accuracy, open_metrics, rank_buckets, query_eligibility, failure_cases, confusion_matrix, aspect_metrics, run_complementarity, paired_runs, bootstrap_interval, optimal_set_cover]
 
 _JM = """i AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY grade DESC, rank) AS ideal FROM g),
 a AS (SELECT {k}, min(CASE WHEN grade > 0 THEN rank END) AS first_positive,
@@ -217,7 +273,34 @@ am_{r} AS (SELECT t.query_id, coalesce(c.covered, 0) / t.aspects AS aspect_recal
              FROM (SELECT query_id, rank, (query_id, idx) IN (SELECT (query_id, idx) FROM links) AS u FROM run_{r}) GROUP BY 1) p USING (query_id))"""
 _GOLD = "gold AS (SELECT DISTINCT claim_id AS item_id, doc_id FROM judgments WHERE grade > 0{0}), f AS (SELECT g.*, r.rank FROM gold g LEFT JOIN {1} r USING (item_id, doc_id))"
 
+_LENGTH = "run_c AS (SELECT * FROM (SELECT claim_id AS item_id, j.doc_id, CAST(n_chars AS DOUBLE) AS score, row_number() OVER (PARTITION BY claim_id ORDER BY n_chars DESC, j.doc_id) AS rank FROM judgments j JOIN documents USING (doc_id)) WHERE rank <= 50)"
+_COMPARED = """SELECT '{n}' AS run, x.*, pw.*, o.* FROM
+  (SELECT round(avg(mrr), 8) AS mrr, round(avg(ndcg_at_5), 8) AS ndcg_at_5, round(avg((top1_grade > 0)::INT), 8) AS top1_positive_rate FROM (WITH g AS (SELECT claim_id, grade, row_number() OVER (PARTITION BY claim_id ORDER BY r.rank) AS rank FROM judgments j JOIN {r} r ON r.item_id = claim_id AND r.doc_id = j.doc_id), {jm} SELECT * FROM jm) WHERE positives > 0) x,
+  (SELECT round(avg(p), 8) AS pairwise_accuracy FROM (SELECT l.claim_id, avg(CASE WHEN l.score = h.score THEN 0.5 WHEN (l.score > h.score) = (l.grade > h.grade) THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT claim_id, j.doc_id, grade, score FROM judgments j JOIN {r} r ON r.item_id = claim_id AND r.doc_id = j.doc_id) l
+     JOIN (SELECT claim_id, j.doc_id, grade, score FROM judgments j JOIN {r} r ON r.item_id = claim_id AND r.doc_id = j.doc_id) h ON l.claim_id = h.claim_id AND l.grade > h.grade GROUP BY 1)) pw,
+  (SELECT round(avg(a), 8) AS recall_at_10, round(avg(b), 8) AS recall_at_50, round(avg(c), 8) AS recall_at_100, round(avg(h), 8) AS hit_at_100 FROM (SELECT claim_id, count(*) FILTER (WHERE rank <= 10) / count(*) AS a, count(*) FILTER (WHERE rank <= 50) / count(*) AS b, count(*) FILTER (WHERE rank <= 100) / count(*) AS c, max((coalesce(rank, 1000) <= 100)::INT) AS h
+     FROM judgments j LEFT JOIN {r} r ON r.item_id = claim_id AND r.doc_id = j.doc_id WHERE grade > 0 AND NOT is_origin GROUP BY 1)) o"""
+_RECALL = "f AS (SELECT claim_id, j.doc_id, rank FROM judgments j LEFT JOIN run_b r ON r.item_id = claim_id AND r.doc_id = j.doc_id WHERE grade > 0)"
+
 ORACLE = {
+    "fusion_of_three": f"""WITH {RUNS}, {_LENGTH}, f AS (SELECT item_id, doc_id, a.rank AS a, b.rank AS b, c.rank AS c FROM run_a a FULL OUTER JOIN run_b b USING (item_id, doc_id) FULL OUTER JOIN run_c c USING (item_id, doc_id)),
+        g AS (SELECT *, coalesce(1.0::DOUBLE / (60 + a), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + c), 0.0::DOUBLE) AS s, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS source_count,
+          CAST((a IS NOT NULL)::INT + 2 * (b IS NOT NULL)::INT + 4 * (c IS NOT NULL)::INT AS BIGINT) AS source_mask, least(coalesce(a, 1000), coalesce(b, 1000), coalesce(c, 1000)) AS best, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) AS rs FROM f)
+        SELECT item_id, doc_id, source_mask, source_count, round(s, 6) AS fusion_score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, source_count DESC, best, rs, doc_id) AS fusion_rank FROM g""",
+    "sentence_fusion": f"""WITH {ASPECTS}, f AS (SELECT query_id, idx, a.rank AS a, b.rank AS b FROM run_a a FULL OUTER JOIN run_b b USING (query_id, idx)),
+        g AS (SELECT *, coalesce(1.0::DOUBLE / (10 + a), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (10 + b), 0.0::DOUBLE) AS s, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS n, CAST((a IS NOT NULL)::INT + 2 * (b IS NOT NULL)::INT AS BIGINT) AS source_mask FROM f)
+        SELECT query_id, idx, source_mask, round(s, 6) AS fusion_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, n DESC, least(coalesce(a, 1000), coalesce(b, 1000)), idx) AS fusion_rank FROM g""",
+    "cut_tracks": f"WITH {RUNS} SELECT 'judged' AS track, count(*) AS n, max(fusion_rank) AS deepest FROM rrf UNION ALL SELECT 'open', count(*), max(fusion_rank) FROM rrf WHERE fusion_rank <= 10",
+    "run_comparison": f"WITH {RUNS}, {_LENGTH} {_COMPARED.format(n='judged', r='run_b', jm=_JM.format(k='claim_id', sums=_SUMS))} UNION ALL {_COMPARED.format(n='length', r='run_c', jm=_JM.format(k='claim_id', sums=_SUMS))}",
+    "recall_audit": f"""WITH {RUNS}, {_RECALL}, q AS (SELECT claim_id, count(*) FILTER (WHERE rank <= 10) / count(*) AS a, count(*) FILTER (WHERE rank <= 50) / count(*) AS b, count(*) FILTER (WHERE rank <= 100) / count(*) AS c FROM f GROUP BY 1),
+        mm AS (SELECT round(avg(a), 8) AS recall_at_10, round(avg(b), 8) AS recall_at_50, round(avg(c), 8) AS recall_at_100 FROM q)
+        SELECT *, recall_at_10 = recall_at_50 AND recall_at_50 = recall_at_100 AS recall_plateau, (SELECT count(*) FROM f WHERE rank > 10 AND rank <= 100) = 0 AS all_found_in_top10 FROM mm""",
+    "recall_gaps": f"""WITH {RUNS}, s AS (SELECT DISTINCT item_id FROM run_b WHERE doc_id % 5 < 3), {_RECALL}, g AS (SELECT f.* FROM f WHERE claim_id IN (SELECT item_id FROM s)),
+        n AS (SELECT count(DISTINCT claim_id) AS shared_queries, count(*) FILTER (WHERE rank IS NOT NULL AND doc_id % 5 >= 3) AS gained, count(*) FILTER (WHERE rank <= 10 AND doc_id % 5 >= 3) AS gained_top10, count(*) FILTER (WHERE rank > 10 AND rank <= 50 AND doc_id % 5 >= 3) AS gained_11_50, count(*) FILTER (WHERE rank > 50 AND doc_id % 5 >= 3) AS gained_later FROM g)
+        SELECT *, round(gained_top10 / nullif(gained, 0), 8) AS top10_share, coalesce(gained_top10 / nullif(gained, 0) >= 0.9, false) AS looks_like_unprobed_lists FROM n""",
+    "optimal_set_cover": f"""WITH {ASPECTS}, names AS (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS b FROM (SELECT DISTINCT query_id, idx FROM links)), m AS (SELECT query_id, aspect, bit_or((1::BIGINT << b)::BIGINT) AS mask FROM links JOIN names USING (query_id, idx) GROUP BY ALL),
+        n AS (SELECT query_id, max(b) + 1 AS k FROM names GROUP BY 1), c AS (SELECT query_id, unnest(range(1, (1::BIGINT << k)::BIGINT)) AS chosen FROM n),
+        g AS (SELECT query_id, chosen FROM c JOIN m USING (query_id) GROUP BY ALL HAVING bool_and(chosen & mask <> 0)) SELECT query_id, min(bit_count(chosen))::BIGINT AS optimal_items FROM g GROUP BY 1""",
     "rrf_fusion": f"WITH {RUNS} SELECT item_id, doc_id, source_mask, source_count, best_rank, rank_sum, bm25_rank, round(bm25_score, 6) AS bm25_score, judged_rank, judged_score, round(fusion_score, 6) AS fusion_score, fusion_rank FROM rrf",
     "union_fusion": f"""WITH {RUNS}, u AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY best_rank, source_count DESC, rank_sum, doc_id) AS r FROM m)
         SELECT item_id, doc_id, source_mask, best_rank, r AS fusion_rank, CAST(count(*) OVER (PARTITION BY item_id) - r + 1 AS DOUBLE) AS fusion_score FROM u""",
@@ -257,7 +340,7 @@ ORACLE = {
     "paired_runs": f"""WITH {ASPECTS}, {_ASPECT.format(r='a')}, {_ASPECT.format(r='b').split(chr(10), 1)[1]}
         SELECT count(*) AS queries, count(*) FILTER (WHERE b.aspect_recall > a.aspect_recall) AS wins, count(*) FILTER (WHERE b.aspect_recall = a.aspect_recall) AS ties, count(*) FILTER (WHERE b.aspect_recall < a.aspect_recall) AS losses,
         round(avg(b.aspect_recall - a.aspect_recall), 6) AS mean_delta FROM am_a a JOIN am_b b USING (query_id)""",
-    "bootstrap_interval": """WITH c AS (SELECT doc_id % 50 AS cluster, sum(quality - toxic) AS s, count(*) AS n FROM labels GROUP BY 1), k AS (SELECT unnest(range(0, 200)) AS sample),
+    "bootstrap_interval": """WITH c AS (SELECT doc_id % 50 AS cluster, sum(quality - toxic) AS s, count(*) AS n FROM labels GROUP BY 1), k AS (SELECT unnest(range(0, 5000)) AS sample),
         u AS (SELECT sample, s, n, CAST(('0x' || substr(md5('42:' || sample || ':' || cluster), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM c, k),
         t AS (SELECT sample, s, n, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT
               + (u >= 0.9963401531726563::DOUBLE)::INT + (u >= 0.9994058151824183::DOUBLE)::INT + (u >= 0.9999167588507119::DOUBLE)::INT + (u >= 0.9999897508033253::DOUBLE)::INT AS t FROM u),

@@ -96,12 +96,12 @@ def sentence_context(spark, d):
 def _claims_steps(spark, d):
     """Customers' nations as claims; a step leads from the nations of two suppliers to a nation further on, with cycles."""
     claims = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("claim_id"), F.when(F.col("n_nationkey") % 9 == 0, "ERROR").otherwise("SUPPORTED").alias("evidence_status"))
-    s = table(spark, d, "supplier").where("s_suppkey <= 30")
+    s = table(spark, d, "supplier")
     steps = s.select(F.col("s_suppkey").alias("step_id"), F.array(F.col("s_nationkey").cast("long"), ((F.col("s_nationkey") + 3) % 25).cast("long")).alias("premises"), ((F.col("s_nationkey") * 2 + 1) % 23).cast("long").alias("conclusion"), (F.col("s_suppkey") % 4 == 0).alias("gap"))
     return claims, steps
 
 
-STEPS = """steps AS (SELECT s_suppkey AS step_id, [CAST(s_nationkey AS BIGINT), CAST((s_nationkey + 3) % 25 AS BIGINT)] AS premises, CAST((s_nationkey * 2 + 1) % 23 AS BIGINT) AS conclusion, s_suppkey % 4 = 0 AS gap FROM supplier WHERE s_suppkey <= 30),
+STEPS = """steps AS (SELECT s_suppkey AS step_id, [CAST(s_nationkey AS BIGINT), CAST((s_nationkey + 3) % 25 AS BIGINT)] AS premises, CAST((s_nationkey * 2 + 1) % 23 AS BIGINT) AS conclusion, s_suppkey % 4 = 0 AS gap FROM supplier),
 claims AS (SELECT CAST(n_nationkey AS BIGINT) AS claim_id, CASE WHEN n_nationkey % 9 = 0 THEN 'ERROR' ELSE 'SUPPORTED' END AS evidence_status FROM nation),
 links AS (SELECT DISTINCT unnest(premises) AS premise, conclusion AS next FROM steps)"""
 
@@ -132,9 +132,8 @@ def gap_inputs(spark, d):
 
 
 def graph_components(spark, d):
-    """Components of orders and suppliers in a hashed part of the order lines."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 97 = 0 and l_linenumber <= 2")
-    edges = rows.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
+    """Components of orders and suppliers, linked by all order lines."""
+    edges = table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
     out = argument.components(edges)
     return out.groupBy("component").agg(F.count("*").alias("size"))
 
@@ -209,8 +208,6 @@ ORACLE = {
     "argument_impacts": f"""WITH RECURSIVE {STEPS}, {_REACH}, x AS (SELECT r.step_id, r.claim_id, r.claim_id NOT IN (SELECT premise FROM links) AS t, list_contains(s.premises, r.claim_id) AS own FROM reach r JOIN steps s USING (step_id))
         SELECT step_id, count(*) AS affected_claims, coalesce(string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY claim_id) FILTER (WHERE t), '') AS terminal_claim_ids, bool_or(own) AS cycle_detected, bool_or(t) AS affects_terminal_conclusion FROM x GROUP BY 1""",
     "gap_inputs": f"WITH {STEPS}, t AS (SELECT DISTINCT step_id, unnest(list_append(premises, conclusion)) AS claim_id FROM steps) SELECT claim_id, count(*) AS steps FROM t GROUP BY 1",
-    "graph_components": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber <= 2), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-        r AS (SELECT a AS node, a AS m FROM b UNION SELECT b.b, r.m FROM r JOIN b ON b.a = r.node), c AS (SELECT node, min(m) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size FROM c GROUP BY 1""",
     "component_split": """WITH s AS (SELECT source, count(*) AS n, sha256('42:' || source) AS h FROM documents GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY h, source) AS cum, row_number() OVER (ORDER BY h, source) AS k FROM s),
         t AS (SELECT count(*) // 10 AS t FROM documents), b AS (SELECT CASE WHEN min(abs(cum - t)) < any_value(t) THEN arg_min(k, row(abs(cum - t), k)) ELSE 0 END AS best FROM c, t) SELECT source, n FROM c, b WHERE k <= best""",
     "statement_status": """SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') = 0 THEN 'completed'
@@ -219,3 +216,8 @@ ORACLE = {
     "mapping_symmetry": """WITH a AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2)
         SELECT 'forward_only' AS "check", count(*) AS violations FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'reverse_only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 }
+
+_CLASSES = "unnest(['support', 'refute', 'insufficient'])"
+STANCE_CLASSIFICATION = f"""WITH {PRED}, x AS (SELECT label AS pred, CASE WHEN stance > 0 THEN 'support' WHEN stance < 0 THEN 'refute' ELSE 'insufficient' END AS gold FROM pred JOIN judgments ON doc_id = input_id),
+c AS (SELECT {_CLASSES} AS k), t AS (SELECT k, count(*) FILTER (WHERE pred = k AND gold = k) AS tp, count(*) FILTER (WHERE pred = k) AS p, count(*) FILTER (WHERE gold = k) AS g FROM c, x GROUP BY 1)
+SELECT (SELECT count(*) FROM x) AS n, round((SELECT avg((pred = gold)::INT) FROM x), 6) AS accuracy, round(avg(coalesce(2 * tp / nullif(p + g, 0), 0)), 6) AS macro_f1, round(avg(coalesce(tp / nullif(g, 0), 0)), 6) AS balanced_accuracy FROM t"""

@@ -68,15 +68,28 @@ def dense_candidates(spark, d):
     return sparse.top_k(out, "query_id", "vec_id", None).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-def dense_lists_recall(spark, d):
+def dense_without_origins(spark, d):
+    """Exact search without the vectors of the query's own label and number parity: over-fetched, then filtered."""
+    vectors, queries = table(spark, d, "embeddings"), dense_queries(spark, d)
+    origins = queries.join(vectors.select("vec_id", "label"), F.col("label") == F.col("query_label")).where("vec_id % 2 = query_id % 2").select("query_id", "vec_id")
+    hits = dense.exact_search(vectors, queries, 10, exclude=origins)
+    return hits.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+def dense_lists_recall(spark, d, half=False):
     """Recall at 10 of inverted-list search against exact search, by query."""
     vectors, queries = table(spark, d, "embeddings"), dense_queries(spark, d)
     exact = dense.exact_search(vectors, queries).select("query_id", "vec_id")
-    near = dense.list_search(vectors, queries).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    near = dense.list_search(vectors, queries, half=half).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall_at_10"))
 
 
-QUERIES = [flagship_bm25_top10, postings_summary, bm25_without_origins, bm25_candidates, pool_bm25, dense_exact_top10, dense_candidates, dense_lists_recall]
+def dense_half_lists_recall(spark, d):
+    """The same with vectors in half precision."""
+    return dense_lists_recall(spark, d, True)
+
+
+QUERIES = [flagship_bm25_top10, postings_summary, bm25_without_origins, bm25_candidates, pool_bm25, dense_exact_top10, dense_candidates, dense_without_origins, dense_lists_recall, dense_half_lists_recall]
 
 ORACLE = {
     "flagship_bm25_top10": f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm25)
@@ -93,6 +106,8 @@ ORACLE = {
     "pool_bm25": f"""WITH {POOL} SELECT conv_id, turn, round(score, 6) AS score, rank FROM pool WHERE rank <= least(size, 5)""",
     "dense_exact_top10": f"""WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense)
         SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
+    "dense_without_origins": f"""WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense WHERE NOT (label = query_label AND vec_id % 2 = query_id % 2))
+        SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
     "dense_candidates": f"""WITH {DENSE} SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
         FROM dense WHERE label = query_label AND vec_id <> query_id""",
 }

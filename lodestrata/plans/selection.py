@@ -25,12 +25,12 @@ def text_nfkc(spark, d):
 
 def text_tokens(spark, d):
     terms = tx.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(terms).alias("n"), F.array_join(F.slice(terms, 1, 8), " ").alias("first"))
+    return table(spark, d, "documents").select("doc_id", F.size(terms).alias("n"), F.sha2(F.array_join(terms, " "), 256).alias("terms"))
 
 
 def text_spans(spark, d):
     out = tx.exact_spans(F.col("text"), F.lit("th"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(out).alias("n"), F.array_join(F.slice(out, 1, 5).cast("array<string>"), ",").alias("first"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(out).alias("n"), F.array_join(out.cast("array<string>"), ",").alias("starts"))
 
 
 def identifiers(spark, d):
@@ -111,10 +111,6 @@ def parquet_round_trip(spark, d):
     return readers.parquet_by_name(spark, f"{path}/a", f"{path}/b").select("doc_id", "n_chars", "source")
 
 
-def content_manifest(spark, d):
-    return writers.manifest(table(spark, d, "orders")).select("rows")
-
-
 def event_windows(spark, d):
     out = runs.windowed(table(spark, d, "events"))
     return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
@@ -129,7 +125,7 @@ def latest_state(spark, d):
     return runs.latest_state(table(spark, d, "events")).select("user_id", "state")
 
 
-QUERIES = [text_normalised, text_nfkc, text_tokens, text_spans, identifiers, evidence_eligibility, runs_page, first_groups, sampled_groups, batches, table_profile, json_profile, cache_state, split_overlaps, range_scan, trec_round_trip, json_round_trip, parquet_round_trip, content_manifest, event_windows, event_sessions, latest_state]
+QUERIES = [text_normalised, text_nfkc, text_tokens, text_spans, identifiers, evidence_eligibility, runs_page, first_groups, sampled_groups, batches, table_profile, json_profile, cache_state, split_overlaps, range_scan, trec_round_trip, json_round_trip, parquet_round_trip, event_windows, event_sessions, latest_state]
 
 _SQ = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[-/][\p{L}\p{M}\p{N}_]+)*')"
@@ -139,9 +135,9 @@ ORACLE = {
     "text_normalised": f"""WITH s AS (SELECT doc_id, {_SQ} AS t FROM documents) SELECT doc_id, t AS squeezed, substr(sha256(t), 1, 16) AS text_hash, regexp_replace(lower(t), '[.?!]+$', '') AS duplicate_key,
         CASE WHEN length(t) <= 60 THEN t ELSE substr(t, 1, 59) || '…' END AS preview FROM s""",
     "text_nfkc": "SELECT doc_id, sha256('fi ' || text) AS h FROM documents",
-    "text_tokens": f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n, array_to_string({_TOK}[1:8], ' ') AS first FROM documents",
+    "text_tokens": f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n, sha256(array_to_string({_TOK}, ' ')) AS terms FROM documents",
     "text_spans": """WITH p AS (SELECT conv_id, turn, list_filter(range(0, length(text)), lambda i: substr(text, CAST(i + 1 AS BIGINT), 2) = 'th') AS s FROM conversations)
-        SELECT conv_id, turn, CAST(len(s) AS INTEGER) AS n, array_to_string(s[1:5], ',') AS first FROM p""",
+        SELECT conv_id, turn, CAST(len(s) AS INTEGER) AS n, array_to_string(s, ',') AS starts FROM p""",
     "identifiers": """SELECT doc_id, (['', '12', '-7', '1.50', '', 'A.0'])[doc_id % 6 + 1] AS identifier, 'claim_' || substr(sha256(source || chr(0) || lang), 1, 24) AS claim_id FROM documents""",
     "evidence_eligibility": """SELECT CASE WHEN turn = 0 THEN 'title_sentence' WHEN trim(text) = '' THEN 'empty_sentence'
         WHEN role <> 'user' AND NOT regexp_matches(text, '[.!?]["''’”\\)\\]]*\\s*$') THEN 'unterminated_structured_section_fragment' ELSE 'eligible' END AS reason, count(*) AS n FROM conversations GROUP BY 1""",
@@ -159,7 +155,6 @@ ORACLE = {
         SELECT CAST(item_id AS VARCHAR) AS query, CAST(doc_id AS VARCHAR) AS document, rank, round(round(score, 8), 6) AS score, 'bm25' AS run FROM r WHERE rank <= 5""",
     "json_round_trip": "SELECT item_id, text FROM benchmark",
     "parquet_round_trip": "SELECT doc_id, CASE WHEN lang = 'en' THEN n_chars END AS n_chars, CASE WHEN lang <> 'en' THEN source END AS source FROM documents",
-    "content_manifest": 'SELECT count(*) AS "rows" FROM orders',
     "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "event_sessions": """WITH l AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",

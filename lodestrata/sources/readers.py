@@ -22,26 +22,28 @@ def json_by_name(spark: SparkSession, paths: list[str], schema: str | None = Non
     return out if limit is None else out.limit(limit)
 
 
-def sniff_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), delimiters: str = ",;\t") -> tuple[str, str]:
-    """(encoding, delimiter) of a CSV file, from its first 64 KB as Spark's own reader gives them."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16)).first()[0]
-    for encoding in encodings:
-        try:
-            text = bytes(head).decode(encoding)
-        except UnicodeDecodeError as e:
-            if len(head) < 1 << 16 or e.start < len(head) - 4:  # else the cut may have split a character
-                continue
-            text = bytes(head[: e.start]).decode(encoding)
-        try:
-            return encoding, csv.Sniffer().sniff(text, delimiters).delimiter
-        except csv.Error:
-            return encoding, ","
-    raise ValueError(f"no encoding fits {path}")
+def sniff_csv(spark: SparkSession, path: str, delimiters: str = ",;\t", head: int = 500) -> tuple[str, str, bool]:
+    """(encoding, delimiter, whether quoted fields hold line ends) of a CSV file.
+
+    The encoding is UTF-8 if every line of the file is valid in it, else ISO-8859-1, in which every byte is a character;
+    a job reads all lines for that, as bytes. The delimiter is guessed from the first ``head`` lines.
+    """
+    lines = spark.read.text(path)
+    facts = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(F.expr("(octet_length(value) - octet_length(replace(value, '\"', ''))) % 2 = 1")).alias("torn")).first()
+    encoding = "UTF-8" if facts["valid"] is not False else "ISO-8859-1"
+    text = "\n".join(bytes(r[0]).decode(encoding.lower(), "replace") for r in lines.select(F.col("value").cast("binary")).limit(head).collect())
+    try:
+        delimiter = csv.Sniffer().sniff(text, delimiters).delimiter
+    except csv.Error:
+        delimiter = ","
+    return encoding, delimiter, bool(facts["torn"])
 
 
 def csv_any(spark: SparkSession, path: str) -> DataFrame:
-    encoding, delimiter = sniff_csv(spark, path)
-    return spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, multiLine=True, escape='"')
+    """A CSV file of unknown encoding and delimiter. Only a file with line ends in quoted fields is read whole by one task."""
+    encoding, delimiter, torn = sniff_csv(spark, path)
+    out = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, multiLine=torn, escape='"')
+    return out.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in out.columns if c.startswith("\ufeff")})
 
 
 def union_csv(spark: SparkSession, paths: list[str], required: list[str], label: str, domain: list[str]) -> DataFrame:
@@ -81,6 +83,32 @@ def load_articles(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("article_id", F.when(twice, F.raise_error(F.concat(F.lit("id occurs twice: "), "article_id")).cast("string")).otherwise(F.col("article_id")))
 
 
+def split_rows(df: DataFrame, split: str, order: str, *columns: str, split_col: str = "split") -> DataFrame:
+    """One split's rows in order of a key; the split and the columns reach the Parquet scan."""
+    return df.where(F.col(split_col) == split).select(*(columns or df.columns)).orderBy(order)
+
+
+def with_locators(df: DataFrame) -> DataFrame:
+    """df, as read from files, with path and row_in_file: where each row physically stands."""
+    return df.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_in_file"))
+
+
+def combined_shards(spark: SparkSession, paths: list[str], key: str, expected: DataFrame | None = None) -> DataFrame:
+    """Shards of one table put together; a key in several shards is an error, as is one that isn't expected or is missing, when rows are read."""
+    out = None
+    for k, path in enumerate(paths):
+        one = spark.read.parquet(path).withColumn("shard_no", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    twice = F.min("shard_no").over(Window.partitionBy(key)) < F.max("shard_no").over(Window.partitionBy(key))
+    out = out.withColumn("in_several", twice)
+    fail = lambda when, what, otherwise: F.when(when, F.raise_error(F.concat(F.lit(f"{what}: "), F.col(key).cast("string"))).cast("boolean")).otherwise(otherwise)
+    good = fail(F.col("in_several"), "in several shards", F.lit(True))
+    if expected is not None:
+        out = out.join(expected.select(key).distinct().withColumn("wanted", F.lit(True)), key, "full_outer")
+        good = fail(F.col("wanted").isNull(), "not expected", fail(F.col("shard_no").isNull(), "missing", good))
+    return out.where(good).drop("shard_no", "in_several", "wanted")
+
+
 def key_range(df: DataFrame, key: str, low: int, high: int, *columns: str) -> DataFrame:
     """Rows with low <= key < high; both bounds and the columns reach the Parquet scan."""
     return df.where((F.col(key) >= low) & (F.col(key) < high)).select(*(columns or df.columns))

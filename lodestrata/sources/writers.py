@@ -13,6 +13,16 @@ def write_parquet(df: DataFrame, path: str, sort: list[str] | None = None, parti
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def conformed(df: DataFrame, schema: str) -> DataFrame:
+    """df in the columns, order and types of a schema; a missing or stray column is an error now, a value that doesn't fit when it is read."""
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(schema)
+    if set(wanted.names) != set(df.columns):
+        raise ValueError(f"columns {sorted(df.columns)} instead of {sorted(wanted.names)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def write_sharded(df: DataFrame, path: str, key: str, shards: int) -> None:
     """Parquet in hash shards that keep a key's rows together."""
     df.repartition(shards, key).sortWithinPartitions(key).write.option("compression", "zstd").parquet(path)

@@ -21,12 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and its path: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate tables that nothing reads any more."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that haven't been written or collected can't be read any more."""
+    discard(spark, _folder(spark))
