@@ -92,7 +92,7 @@ class _Asked:
                 asked = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(of))
                 place = row[of] * self.queries + self.query[asked]
                 shape = (part.num_rows, self.queries)
-                scores = np.bincount(place, self.weight[asked] * share[of], part.num_rows * self.queries).reshape(shape)
+                scores = np.bincount(place, self.weight[asked] * share[of], part.num_rows * self.queries).astype(float).reshape(shape)
                 yield part.column(0), np.round(scores, 9), np.bincount(place, minlength=part.num_rows * self.queries).reshape(shape) > 0
 
     def shares(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def score_candidates(docs: DataFrame, queries: DataFrame, candidates: DataFrame,
                 own = term * max(1, asked.queries) + wanted
                 at = np.minimum(np.searchsorted(code, own), max(len(code) - 1, 0))
                 hit = code[at] == own if len(code) else np.zeros(len(own), bool)
-                scores = np.bincount(row[hit], asked.weight[at[hit]] * share[hit], batch.num_rows)
+                scores = np.bincount(row[hit], asked.weight[at[hit]] * share[hit], batch.num_rows).astype(float)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(np.round(scores, 9))], [doc_key, "q", "score"])
 
         kind = docs.schema[doc_key].dataType.simpleString()
