@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.components import connected_components
+from lodestrata.llm.blocks import whole_groups
 from lodestrata.llm.common import discard, stored
+from lodestrata.llm.components import connected_components, one_of_each
 
 FAN = 8
 BLOCK_BYTES = 4 << 20
@@ -68,15 +69,15 @@ def fingerprint(data: bytes | None, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for each row of docs; fp is the fingerprint as a signed long."""
+    """(doc_id, t, fp): one row for each row of docs; t is xxhash64 of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), size, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), size, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "t", "fp"])
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fp long")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, t long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -145,14 +146,13 @@ def linked_classes(codes: np.ndarray, keys: np.ndarray, distance: int, frontier:
     return labels
 
 
-def _local_links(distance: int):
-    """Task body: sorts its routed groups into Gray order and yields one link for each code to its class's root."""
+def _local_links(distance: int, held_rows: int = 1 << 18):
+    """Task body: rows by key; puts the groups into Gray order and yields one link for each code to its class's root.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if not columns:
-            return
-        key, turn, code = (np.concatenate(c) for c in zip(*columns))
+    Whole groups are taken together up to ``held_rows`` codes, so a task holds that many, or one larger group.
+    """
+
+    def links(key: np.ndarray, turn: np.ndarray, code: np.ndarray) -> pa.RecordBatch | None:
         code, turn = code.view(np.uint64), turn.astype(np.uint64)
         turned = (code << turn) | (code >> ((np.uint64(64) - turn) % np.uint64(64)))
         order = np.lexsort((gray_rank(turned), key))
@@ -160,7 +160,13 @@ def _local_links(distance: int):
         labels = linked_classes(code, key, distance)
         own = np.flatnonzero(labels != np.arange(len(labels)))
         if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(code[own].view(np.int64)), pa.array(code[labels[own]].view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(code[own].view(np.int64)), pa.array(code[labels[own]].view(np.int64))], ["a", "b"])
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, held_rows):
+            if found := links(*(table.column(k).to_numpy() for k in range(3))):
+                yield found
 
     return run
 
@@ -207,7 +213,24 @@ def hamming_links(codes: DataFrame, distance: int = 2, group_rows: int = 4096) -
         ready = done if ready is None else ready.union(done)
         if groups is None:
             break
-    return ready.repartition("key").mapInArrow(_local_links(distance), "a long, b long")
+    return ready.repartition("key").sortWithinPartitions("key").mapInArrow(_local_links(distance), "a long, b long")
+
+
+def _classes(docs: DataFrame, distance: int, size: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t, fp, class, component_id), one row for each row of docs; class is the smallest fingerprint reachable."""
+    spark = docs.sparkSession
+    rows, _ = stored(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
+    least, least_path = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    links, path = stored(hamming_links(least.select("fp"), distance), "near")
+    found, found_path = stored(connected_components(links), "classes")
+    discard(spark, path)
+    named = found.join(least.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    of_code = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("class"), "component_id")
+    table = least.join(of_code, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class"), F.coalesce("component_id", "least").alias("component_id"))
+    # Written out, so that a hot fingerprint's rows can be split over the tasks of the join.
+    table, _ = stored(table, "of-codes")
+    discard(spark, least_path, found_path)
+    return rows.join(table, "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,32 +241,10 @@ def near_duplicates(docs: DataFrame, distance: int = 2, size: int = 3, seed: int
     take part in links; their component_id is the smallest known id of the class, null if it has none. Repeated
     rows keep a row each. Extra columns are not read. An empty table gives an empty result.
     """
-    rows, _ = stored(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
-    least, _ = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    links, path = stored(hamming_links(least.select("fp"), distance), "near")
-    found, _ = stored(connected_components(links), "classes")
-    discard(docs.sparkSession, path)
-    named = found.join(least.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    of_code = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    table = least.join(of_code, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _classes(docs, distance, size, seed, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
-    """Rows of docs with one document left of each near-duplicate group: the one of the smallest doc_id.
-
-    Of rows that repeat a doc_id one is kept. A row without doc_id is kept if no member of its group has one.
-    """
-    classes = near_duplicates(docs, distance, size, seed)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = named.withColumn("__place", place).where("__place = 1").drop("__place")
-    lone = classes.where("component_id is null").select("fingerprint").distinct()
-    if not lone.head(1):
-        return named.select(docs.columns)
-    nameless = docs.where("doc_id is null")
-    codes = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text"), size, seed)
-    codes = codes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(lone, "fingerprint", "left_semi")
-    kept = nameless.withColumn("__text", F.xxhash64("text")).join(codes.select(F.col("doc_id").alias("__text")).distinct(), "__text", "left_semi")
-    return named.select(docs.columns).union(kept.select(docs.columns))
+    """Rows of docs with one document left of each near-duplicate group: the one of the smallest doc_id (see one_of_each)."""
+    return one_of_each(docs, _classes(docs, distance, size, seed))
