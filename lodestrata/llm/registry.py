@@ -73,8 +73,8 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raking.mixed(load(spark, sf_dir, "documents"))
-    rounded = {c: F.round(c, 6) for c in ("weight", "probability")}
-    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled").withColumns(rounded)
+    rounded = {c: F.round(c, 6) for c in ("weight", "probability", "miss")}
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "miss", "sampled").withColumns(rounded)
 
 
 def queries() -> dict[str, Query]:
