@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import WORD, let
 
-#: Openings of lines that are notices rather than prose, matched anywhere in a lower-cased line.
+#: Notices rather than prose, in the languages of the corpus; matched anywhere in a lower-cased line.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -25,7 +25,18 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "this work is licensed",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "mentions légales",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "política de privacidad",
+    "todos los derechos reservados",
+    "términos de uso",
 )
+#: Characters that stand between the links of a menu or a trail of crumbs.
+SEPARATORS = "|›»·•"
 #: Characters that end or divide sentences.
 SENTENCE_MARKS = r"[.!?\x{2026}\x{3002}\x{061F}]"
 SYMBOLS = "#*$%&|<>"
@@ -38,12 +49,13 @@ def word_array(text: Column, word: str = WORD) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line with a word breaks a rule; lines without a word always stay.
 
-    navigation: three or more bars between its words, or as many bars as a third of its words.
+    navigation: three or more separators, or one for each three of its words.
     boilerplate: holds one of the notices.
     punctuation: no mark of a sentence's end anywhere in the line, or over a tenth of its characters are symbols.
     """
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    navigation = bars >= 3
+    between = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
+    # Few lines hold a separator at all; only these are counted.
+    navigation = line.rlike(f"[{SEPARATORS}]") & ((between >= 3) | (3 * between >= F.size(word_array(line))))
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     punctuation = ~line.rlike(SENTENCE_MARKS) | (10 * symbols > F.length(line))
@@ -55,19 +67,20 @@ def clean_text(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~line_fails(line)), "\n")
 
 
-def repeated_words(words: Column, size: int = 3) -> Column:
+def repeated_words(words: Column, size: int = 3, least_bits: int = 0) -> Column:
     """How many words stand in a window of ``size`` words that the array holds twice or more.
 
-    Each window becomes one long: a hash above, its place below. Sorted, equal windows are neighbours; neighbours
-    of equal hash count only if their words are equal too. The places are then swept once for the words covered.
+    Each window becomes one long: a hash above, its place below. Sorted, equal windows are near each other; windows of
+    one hash count only if words are equal, first those of the neighbours, then those of all windows of that hash. The
+    places are then swept once for the words covered. Places get as many bits as they need, ``least_bits`` at least.
     """
-    return let(words, lambda w: F.when(F.size(w) > size, _swept(w, size)).otherwise(F.lit(0).cast("long")))
+    return let(words, lambda w: F.when(F.size(w) > size, _swept(w, size, least_bits)).otherwise(F.lit(0).cast("long")))
 
 
-def _swept(words: Column, size: int) -> Column:
+def _swept(words: Column, size: int, least_bits: int) -> Column:
     count = F.size(words)
     #: bits that the places need; the hash takes the others
-    bits = F.ceil(F.log2(count.cast("double") + 1)).cast("int")
+    bits = F.greatest(F.ceil(F.log2(count.cast("double") + 1)).cast("int"), F.lit(least_bits))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
     def packed(place: Column) -> Column:
@@ -77,24 +90,29 @@ def _swept(words: Column, size: int) -> Column:
     def place_of(code: Column) -> Column:
         return code.bitwiseAND(mask).cast("int")
 
-    def same(a: Column, b: Column) -> Column:
-        close = F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
-        equal = F.lit(True)
+    def close(a: Column, b: Column) -> Column:
+        return F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
+
+    def equal(a: Column, b: Column) -> Column:
+        out = F.lit(True)
         for k in range(size):
-            equal = equal & (F.element_at(words, place_of(a) + k) == F.element_at(words, place_of(b) + k))
-        return close & equal
+            out = out & (F.element_at(words, place_of(a) + k) == F.element_at(words, place_of(b) + k))
+        return out
 
     codes = F.array_sort(F.transform(F.sequence(F.lit(1), count - (size - 1)), packed))
-    return let(codes, lambda c: _covered(c, same, place_of, size))
+    return let(codes, lambda c: _covered(c, close, equal, place_of, size))
 
 
-def _covered(codes: Column, same, place_of, size: int) -> Column:
+def _covered(codes: Column, close, equal, place_of, size: int) -> Column:
     last = F.size(codes)
 
     def twice(code: Column, k: Column) -> Column:
-        before = (k > 0) & same(code, F.element_at(codes, F.greatest(k, F.lit(1))))
-        after = (k + 1 < last) & same(code, F.element_at(codes, F.least(k + 2, last)))
-        return before | after
+        before, after = F.element_at(codes, F.greatest(k, F.lit(1))), F.element_at(codes, F.least(k + 2, last))
+        near = ((k > 0) & close(code, before)) | ((k + 1 < last) & close(code, after))
+        neighbour = ((k > 0) & equal(code, before)) | ((k + 1 < last) & equal(code, after))
+        # Only where other words have the same hash.
+        elsewhere = F.exists(codes, lambda c: (c != code) & close(c, code) & equal(c, code))
+        return near & (neighbour | elsewhere)
 
     starts = F.array_sort(F.transform(F.filter(codes, twice), place_of))
     zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(-size).alias("at"))
