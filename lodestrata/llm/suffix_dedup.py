@@ -5,8 +5,8 @@
    the corpus, and each shard of documents learns which of its own are shared.
 2. Runs of windows with one shared minimizer become segments. Equal segments of a shard meet there; later owners lose
    them at once. One copy travels on, to the place that its minimizer names, so equal windows always meet. A minimizer
-   found in very many batches names too large a place; its windows travel one by one, each to where its bytes say.
-3. There, shards of segments get a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's walk;
+   of very many bytes of segments names too large a place; its windows travel one by one, each to where its bytes say.
+3. There, place by place, shards of segments get a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's walk;
    windows that share ``width`` bytes form classes, shards are merged by binary search, and each class keeps its
    least document. All other windows of a class are cut.
 
@@ -29,6 +29,10 @@ from lodestrata.llm.suffix_array import Shard, merged_least, padded, words_at
 GRAM = 16
 BLOCK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
+#: Partitions at most, so that a shuffle's blocks stay countable; beyond, a task takes several shards or places in turn.
+MOST_PARTITIONS = 1 << 16
+#: What ``many`` holds of a minimizer's segments in a chunk: whether two documents have one, above a power of two of their bytes.
+_TWO, _POWER = 128, 127
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -87,12 +91,13 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _minimizers(width: int, buckets: int, chunk: int = 4 << 20):
-    """Task body: (bucket, hashes, shards, many) of the minimizers of some documents; many: in two of these or more."""
+    """Task body: (bucket, hashes, shards, many) of the minimizers of some documents; many: in two of these or more, and how many bytes their segments have."""
 
     def one(texts: list[bytes], shards: list[int]) -> pa.RecordBatch:
-        _, value, owner, _, _ = runs(texts, width)
+        _, value, owner, first, last = runs(texts, width)
         shard = np.array(shards, np.int32)[owner]
         order = np.lexsort((owner, value))
+        size = (last - first + width)[order]
         value, owner, shard = value[order], owner[order], shard[order]
         other = np.concatenate([[True], (value[1:] != value[:-1])]) if len(value) else np.zeros(0, bool)
         several = np.concatenate([[False], (value[1:] == value[:-1]) & (owner[1:] != owner[:-1])]) if len(value) else np.zeros(0, bool)
@@ -102,7 +107,10 @@ def _minimizers(width: int, buckets: int, chunk: int = 4 << 20):
         order = np.lexsort((value, shard, bucket))
         value, shard, many, bucket = value[order], shard[order], many[order], bucket[order]
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (shard[1:] != shard[:-1])]) if len(value) else several
+        if len(value):
+            size = np.add.reduceat(size[order], np.flatnonzero(new))
         value, shard, many, bucket = value[new], shard[new], many[new], bucket[new]
+        many = (many * _TWO + np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)).astype(np.uint8)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         parts = [slice(cuts[b], cuts[b + 1]) for b in own]
@@ -126,7 +134,7 @@ def _minimizers(width: int, buckets: int, chunk: int = 4 << 20):
 
 
 def _shared(hot: int):
-    """Task body: minimizers found in two documents or more, by shard: (shard, hashes, hot)."""
+    """Task body: minimizers found in two documents or more, by shard: (shard, hashes, hot); hot: their segments have over ``hot`` bytes, or up to half as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[bytes, bytes, bytes]] = []
@@ -134,14 +142,14 @@ def _shared(hot: int):
             found += zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))
         if not found:
             return
-        value, shard, many = (np.frombuffer(b"".join(part), kind) for part, kind in zip(zip(*found), (np.uint64, np.int32, bool)))
+        value, shard, many = (np.frombuffer(b"".join(part), kind) for part, kind in zip(zip(*found), (np.uint64, np.int32, np.uint8)))
         order = np.argsort(value, kind="stable")
         value, shard, many = value[order], shard[order], many[order]
         head = np.concatenate([[True], value[1:] != value[:-1]])
         group = np.cumsum(head) - 1
         count = np.bincount(group)
-        keep = ((count > 1) | (np.bincount(group, many) > 0))[group]
-        very = (count > hot)[group][keep]
+        keep = ((count > 1) | (np.bincount(group, many >= _TWO) > 0))[group]
+        very = (np.bincount(group, 2.0 ** (many & _POWER)) > hot)[group][keep]
         value, shard = value[keep], shard[keep]
         order = np.lexsort((value, shard))
         value, shard, very = value[order], shard[order], very[order]
@@ -217,7 +225,7 @@ def _segments(width: int, routes: int):
 
 
 def _cut_classes(width: int, shard_bytes: int):
-    """Task body: suffix arrays over shards of segments, merged; yields (shard, cuts) of windows with an earlier owner.
+    """Task body, rows in order of their place: suffix arrays over shards of a place's segments, merged; yields (shard, cuts) of windows with an earlier owner.
 
     Of equal segments the least owner's is sorted, once; later owners lose theirs whole. A segment that is then the
     only one of its minimizer has no window that another holds, and isn't sorted.
@@ -231,21 +239,17 @@ def _cut_classes(width: int, shard_bytes: int):
         if len(names):
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([_pack(row[p], start[p], length[p]) for p in parts], pa.binary())], ["shard", "cuts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         tags: list[np.ndarray] = []
         columns: list[tuple[np.ndarray, ...]] = []  # of each blob: segment, owner, document's row, start, length, home
-        for batch in batches:
-            for home, done, owner, lengths, packed in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
-                if done is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([done], pa.binary())], ["shard", "cuts"])
-                    continue
-                sizes = np.frombuffer(lengths, "<i4").astype(np.int64)
-                data, ends = zlib.decompress(packed), np.cumsum(sizes)
-                which = [known.setdefault(data[e - n : e], len(known)) for n, e in zip(sizes.tolist(), ends.tolist())]
-                place = np.frombuffer(owner, "<i4", 2 * len(sizes), 8 * len(sizes)).reshape(-1, 2)
-                tags.append(np.frombuffer(owner, "<u4", len(sizes), 16 * len(sizes)))
-                columns.append((np.array(which), np.frombuffer(owner, "<i8", len(sizes)), place[:, 0], place[:, 1], sizes, np.full(len(sizes), home, np.int32)))
+        for home, owner, lengths, packed in rows:
+            sizes = np.frombuffer(lengths, "<i4").astype(np.int64)
+            data, ends = zlib.decompress(packed), np.cumsum(sizes)
+            which = [known.setdefault(data[e - n : e], len(known)) for n, e in zip(sizes.tolist(), ends.tolist())]
+            spot = np.frombuffer(owner, "<i4", 2 * len(sizes), 8 * len(sizes)).reshape(-1, 2)
+            tags.append(np.frombuffer(owner, "<u4", len(sizes), 16 * len(sizes)))
+            columns.append((np.array(which), np.frombuffer(owner, "<i8", len(sizes)), spot[:, 0], spot[:, 1], sizes, np.full(len(sizes), home, np.int32)))
         if not columns:
             return
         which, owner, row, start, size, home = (np.concatenate(c) for c in zip(*columns))
@@ -286,6 +290,19 @@ def _cut_classes(width: int, shard_bytes: int):
             at = np.repeat(places[of] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(each))
             yield from cuts(home[at], row[at], start[at] + begin[each], length[each])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for route, home, done, *blob in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if done is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([done], pa.binary())], ["shard", "cuts"])
+                    continue
+                if route != now:
+                    yield from place(held)
+                    now, held = route, []
+                held.append((home, *blob))
+        yield from place(held)
+
     return run
 
 
@@ -319,7 +336,7 @@ def _apply():
     return run
 
 
-def deduplicated(docs: DataFrame, width: int = 50, doc_shard_bytes: int = 12 << 20, array_bytes: int = 3 << 20, hot: int = 2000) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 50, doc_shard_bytes: int = 12 << 20, array_bytes: int = 3 << 20, hot: int = 64 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row for each row of docs; kept holds the bytes left.
 
     Each byte covered by a ``width``-byte string that also starts in a document with a smaller doc_id is removed;
@@ -331,13 +348,13 @@ def deduplicated(docs: DataFrame, width: int = 50, doc_shard_bytes: int = 12 <<
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // doc_shard_bytes))
     routes = max(1, -(-total // array_bytes))
+    buckets = min(routes, MOST_PARTITIONS)
+    by_number = lambda df, column, n: df.repartitionById(min(n, MOST_PARTITIONS), F.pmod(F.col(column), F.lit(min(n, MOST_PARTITIONS))).cast("int"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)).cast("int"))
-    counted = rows.select("shard", "text").mapInArrow(_minimizers(width, routes), "bucket long, hashes binary, shards binary, many binary")
-    shared = counted.repartition(routes, "bucket").mapInArrow(_shared(hot), "shard int, hashes binary, hot binary")
-    by_shard = rows.repartition(shards, "shard")
-    going = by_shard.groupBy("shard").cogroup(shared.repartition(shards, "shard").groupBy("shard")).applyInArrow(_segments(width, routes), _ROUTED)
-    cuts = going.repartition(routes, "route").mapInArrow(_cut_classes(width, array_bytes), "shard int, cuts binary")
-    done = by_shard.groupBy("shard").cogroup(cuts.repartition(shards, "shard").groupBy("shard"))
+    counted = rows.select("shard", "text").mapInArrow(_minimizers(width, buckets), "bucket long, hashes binary, shards binary, many binary")
+    shared = by_number(counted, "bucket", buckets).mapInArrow(_shared(hot), "shard int, hashes binary, hot binary")
+    by_shard = rows.repartition(min(shards, MOST_PARTITIONS), "shard")
+    going = by_shard.groupBy("shard").cogroup(shared.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard")).applyInArrow(_segments(width, routes), _ROUTED)
+    cuts = by_number(going, "route", routes).sortWithinPartitions("route").mapInArrow(_cut_classes(width, array_bytes), "shard int, cuts binary")
+    done = by_shard.groupBy("shard").cogroup(cuts.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard"))
     return done.applyInArrow(_apply(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
