@@ -25,7 +25,9 @@ from lodestrata.llm.common import new_path, stored
 from lodestrata.llm.simple8b import decode, encode
 
 MAGIC = b"LSTOK8B1"
+#: Ids after which a segment ends (a longer document is a segment of its own), and segments after which a file ends.
 SEGMENT_IDS = 1 << 20
+FILE_SEGMENTS = 32
 #: Known pieces are dropped when there are so many, which bounds a worker's memory.
 CACHE_PIECES = 800_000
 #: A blank that isn't followed by a word: there the pre-tokenizer might not cut, so we don't either.
@@ -124,18 +126,18 @@ def segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> b
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def segments(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def segments(content: bytes | pa.Buffer) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc ids, ids by document, all ids) of each segment of a file; raises if a segment is damaged."""
-    at = 0
+    at, content = 0, memoryview(content)
     while at < len(content):
-        if content[at : at + 8] != MAGIC:
+        if bytes(content[at : at + 8]) != MAGIC:
             raise ValueError(f"no segment at byte {at}")
         docs, n, blocks, n_words = struct.unpack_from("<4Q", content, at + 8)
         end, parts = at + 40, []
         for kind, size in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u4", blocks + 1), ("<u8", n_words)):
             parts.append(np.frombuffer(content, kind, size, end))
             end += parts[-1].nbytes
-        if zlib.crc32(memoryview(content)[at:end]) != struct.unpack_from("<I", content, end)[0]:
+        if zlib.crc32(content[at:end]) != struct.unpack_from("<I", content, end)[0]:
             raise ValueError(f"damaged segment at byte {at}")
         names = [None if gone else int(d) for d, gone in zip(parts[0], parts[1])]
         yield names, parts[2].astype(np.int64), decode(parts[4], parts[3], n)
@@ -146,7 +148,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: st
     """Encode every text and write the files, in ascending doc_id order over all files; gives their folder.
 
     Null texts count as empty, so they hold the end id alone. Rows without doc_id come first; of rows with one doc_id
-    the order is that of the texts. Extra columns are not read. An empty table gives a folder without segments.
+    the order is that of the texts, and such rows may go to several tasks. A file ends after FILE_SEGMENTS segments, so
+    its size is bounded, but for longer documents. Extra columns are not read. An empty table gives a folder without
+    segments.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -178,20 +182,25 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: st
             yield flush()
 
     path = path or new_path(spark, "tokens")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, "value binary").select(F.expr("cast(value as string)").alias("value")).write.text(path)
+    first = F.col("doc_id").asc_nulls_first()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 32).alias("head"))
+    ordered = named.repartitionByRange(first, "head").sortWithinPartitions(first, "text").select("doc_id", "text")
+    lines = ordered.mapInArrow(run, "value binary").select(F.expr("cast(value as string)").alias("value"))
+    lines.write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
     return path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, doc_id, local, n_tokens, ids_crc32) of each document, all from the files; local counts the file's ids before it."""
+    """(file, doc_id, local, n_tokens, ids_crc32) of each document, all from the files; local counts the file's ids before it.
+
+    file puts the files in the order of their documents. A task holds one file at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 at = 0
-                for names, counts, ids in segments(content.as_py()):
+                for names, counts, ids in segments(content.as_buffer()):
                     ends = np.cumsum(counts)
                     data = memoryview(ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(data[4 * (e - c) : 4 * e]) for e, c in zip(ends, counts)]
@@ -200,7 +209,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     at += int(ends[-1]) if len(ends) else 0
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "content")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    files = files.select((number(r"part-(\d+)[^/]*$") * (1 << 24) + number(r"-c(\d+)[^/]*$")).alias("file"), "content")
     return files.mapInArrow(run, "file long, doc_id long, local long, n_tokens long, ids_crc32 long")
 
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodestrata.llm import decontaminate, html_render, line_quality, raking, sentence_spans, simhash, suffix_dedup, token_files, vector_packing, viterbi_counts
+from lodestrata.llm import decontaminate, html_render, line_quality, raking, sentence_spans, simhash, suffix_dedup, token_files, topics, vector_packing, viterbi_counts
 from lodestrata.llm.registry import tokenizer_file
 from lodestrata.llm.simple8b import decode, encode
 from lodestrata.llm.suffix_array import Shard, common_prefixes, merged_least, padded, suffix_array
@@ -146,22 +146,16 @@ def test_shards_merge_to_the_least_owner():
     assert set(least[0][a.class_of[a.segment == 1]].tolist()) == {2} and set(least[0][a.class_of[a.segment == 0]].tolist()) == {5}
 
 
-def test_sentence_spans(docs, none):
-    for _, text in DOCS:
+def test_sentence_spans(docs, none, spark):
+    odd = ["\n\n lead. and  on\n", "日本。語です。foo…bar) baz. 3.14 is (so.) \"yes.\" no", "…", "a.b.c d.\te", "İstanbul ΟΔΟΣ. " * 9, DOCS[9][1] + "。" + DOCS[0][1]]
+    for text in [t for _, t in DOCS] + odd:
         assert "".join(sentence_spans.sentences(text or "")) == (text or "")
-    first, want = {}, []
-    cut = [(d, sentence_spans.sentences(t or "")) for d, t in DOCS]
-    order = sorted(range(len(cut)), key=lambda k: (cut[k][0] is None, cut[k][0] or 0))
-    hashes = [list(sentence_spans._run_hashes(p, 3)) for _, p in cut]
-    known = {k for k in order if cut[k][0] is not None}
-    for k in order:
-        for at, h in enumerate(hashes[k]):
-            first.setdefault(h, (cut[k][0], at))
-    for k in known:
-        gone = {at + n for at, h in enumerate(hashes[k]) if first[h] != (cut[k][0], at) for n in range(3)}
-        want.append((cut[k][0], len(cut[k][1]), len(gone), "".join(p for n, p in enumerate(cut[k][1]) if n not in gone)))
+        assert sentence_spans.sentences(text or "") == [(text or "")[a:b] for a, b, _ in brute.op3_pieces(text)]
+    named = sorted({(d, t) for d, t in DOCS if d is not None}, key=lambda r: r[0])
+    want = brute.op3([*named, *((None, t) for d, t in DOCS if d is None)])
     out = sentence_spans.deduplicated(docs)
-    assert rows(out.where("doc_id is not null"), "doc_id", "n_sentences", "n_removed", "text") == expected(want)
+    columns = ["doc_id", "n_sentences", "n_removed", "removed_words", "text"]
+    assert rows(out.where("doc_id is not null").distinct(), *columns) == expected(r for r in want if r[0] is not None)
     assert out.count() == len(DOCS)
     assert sentence_spans.deduplicated(none).count() == 0
 
@@ -175,6 +169,69 @@ def test_repeated_passage_of_fifty_words_goes(spark):
         assert out[1].n_removed == 0 and out[2].removed_words >= 36
 
 
+BOXES = {
+    "<table><tr><td><h1>T</h1><p>One<p>Two<ul><li>a<li>b</ul><pre>x\n y</pre></td></tr></table>": "T\n\nOne\n\nTwo\n\n- a\n- b\n\nx\n y",
+    "<table><tr><td>left<br>two<td><ul><li>p<li>q</ul><tr><td rowspan=70000>R<br>S<br>T<td>1<tr><td>2</table>": "left  - p\ntwo   - q\nR     1\nS     2\nT",
+    "<table><tr><td>a<td><table><tr><td>in<td>ner<tr><td>x</table></table>": "a  in  ner\n   x",
+    "<table>oops<tr><td>a<td>b</table>z": "oops\n\na  b\n\nz",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>": "yes",
+    "<div style='display:none'><b style='visibility:visible'>no</b></div>": "",
+    "<p style='display:none;display:block'>yes": "yes",
+    "<style>.x{display:none} @media print{p{display:none}} #y, h2 {visibility:hidden}</style><p class='a x'>no</p><p>yes<h2>no</h2><i id=y>no</i>": "yes",
+}
+
+
+@pytest.mark.parametrize("page", list(BOXES))
+def test_cells_are_boxes_and_visibility_is_inherited(page):
+    assert html_render.render(page) == BOXES[page]
+
+
+def test_very_wide_tables():
+    wide = "<table>" + "".join("<tr>" + "<td colspan=1000 rowspan=65534>c" * 40 for _ in range(40)) + "</table>"
+    assert html_render.render(wide).split() == ["c"] * 1600
+
+
+def test_every_visible_word_of_every_page_once_and_in_order():
+    """Against the standard library's parser, which knows no layout, over all pages of the small table."""
+    import html.parser
+    import re
+
+    import duckdb
+
+    class Words(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.gone, self.depth = [], None, 0
+
+        def handle_starttag(self, tag, attrs):
+            own = dict(attrs)
+            unseen = tag in {"head", "script", "style", "template", "iframe", "noembed", "object", "svg", "canvas", "video", "audio"} or "hidden" in own or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style") or "")
+            if self.gone is None and unseen and tag not in ("br", "img", "input", "hr"):
+                self.gone, self.depth = tag, 1
+            elif self.gone == tag:
+                self.depth += 1
+            elif self.gone is None and (tag in ("br", "p", "div", "td", "th", "li", "tr", "table") or re.fullmatch("h[1-6]", tag)):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.gone == tag:
+                self.depth -= 1
+                self.gone = self.gone if self.depth else None
+            elif self.gone is None and tag not in ("b", "i", "em", "strong", "a", "span", "code", "small"):
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if self.gone is None:
+                self.out.append(data)
+
+    for (page,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        parser = Words()
+        parser.feed(page or "")
+        parser.close()
+        found = [re.sub(r"^(\s*(?:- |\d+\. ))+", "", line) for line in html_render.render(page).split("\n")]
+        assert " ".join(found).split() == "".join(parser.out).split()
+
+
 HTML = {
     "<p>One <b>two</b>\nthree<p>Four": "One two three\n\nFour",
     "<ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x<li>y</ol>": "- a\n- b\n  - c\n\n3. x\n4. y",
@@ -231,6 +288,23 @@ def test_vector_packing_balances(spark):
     assert len({r.shard for r in out if r.text_crc32 == zlib.crc32(b"same text")}) == 1
 
 
+def test_vector_packing_balances_all_three(spark, monkeypatch):
+    """Many texts over several cells and blocks, one large group, one that outgrows a shard, and rows that repeat."""
+    monkeypatch.setattr(vector_packing, "BLOCK", 700)
+    monkeypatch.setattr(vector_packing, "LOTS", 3)
+    rng = random.Random(2)
+    rows_ = [(None if k % 50 == 0 else k // 2, " ".join(str(rng.randrange(10 ** rng.randrange(1, 9))) for _ in range(rng.randrange(1, 80)))) for k in range(6000)]
+    rows_ += [(7, "a text that fills a shard and more " * 12)] * 1200 + [(k, "some group " * 9) for k in range(250)]
+    out = vector_packing.sharded(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert len(out) == len(rows_)
+    for size, most in (("size", 0.01), ("n_tokens", 0.05), ("one", 0.06)):
+        load = [sum(1 if size == "one" else r[size] for r in out if r.shard == s) for s in range(8)]
+        assert max(load) - min(load) <= most * sum(load) / 8, (size, load)
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert len({r.shard for r in out if r.text_crc32 == zlib.crc32(b"some group " * 9)}) == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 1023, 1024, 1025, 5000])
 def test_simple8b(n):
     rng = np.random.default_rng(n)
@@ -255,6 +329,21 @@ def test_token_files(spark, docs, none):
     assert token_files.token_table(none, tokenizer_file()).count() == 0
 
 
+def test_token_files_are_bounded_and_stay_in_order(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 2)
+    rng = random.Random(9)
+    frame = spark.createDataFrame([(k % 700 if k % 9 else None, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(30)))) for k in range(1500)], "doc_id long, text string")
+    path = token_files.write(frame, tokenizer_file(), segment_ids=100)
+    found = token_files.read(spark, path).orderBy("file", "local").collect()
+    assert len(found) == 1500 and len({r.file for r in found}) > 20
+    ids = [-1 if r.doc_id is None else r.doc_id for r in found]
+    assert ids == sorted(ids)
+    place: dict = {}
+    for r in found:
+        assert r.local == place.get(r.file, 0)
+        place[r.file] = r.local + r.n_tokens
+
+
 def test_pieces_encode_as_the_whole():
     rng = random.Random(4)
     with open(tokenizer_file(), encoding="utf-8") as f:
@@ -284,6 +373,25 @@ def test_viterbi_counts(docs, none):
     assert viterbi_counts.counted(none, vocabulary).count() == 0
 
 
+def test_viterbi_memory_does_not_follow_a_long_word():
+    import tracemalloc
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = viterbi_counts.read_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    model = viterbi_counts.CountModel(vocabulary)
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghij日本éß") for _ in range(300_000))
+    tokenizer = Tokenizer(models.Unigram(vocabulary, 0, True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    assert model.count(long[:100_000]) == len(tokenizer.encode(long[:100_000], add_special_tokens=False).ids)
+    tracemalloc.start()
+    assert model.count(long) > 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(long)
+
+
 @pytest.mark.parametrize("bound", [100_000, 0])
 def test_decontamination(spark, docs, none, monkeypatch, bound):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
@@ -324,19 +432,78 @@ def test_raking_meets_its_targets():
     cells = [(s, g, t) for s in "ab" for g in "xy" for t in "mn"]
     tokens = np.arange(1.0, 9.0) ** 2
     targets = [{"a": 0.3, "b": 0.7}, {"x": 0.6, "y": 0.4}, {"m": 0.5, "n": 0.5}]
-    weights = raking.rake(cells, tokens, targets)
+    weights, miss = raking.rake(cells, tokens, targets)
     for d, target in enumerate(targets):
         for name, share in target.items():
             assert abs(sum(w for c, w in zip(cells, weights) if c[d] == name) - share) < 1e-6
+    assert miss < 1e-6
     chance = raking.probabilities(weights, tokens, 60.0)
     assert abs((chance * tokens).sum() - 60) < 1e-6 and chance.max() <= 1
 
 
-def test_raking(docs, none):
-    out = raking.mixed(docs)
+def test_raking_tells_of_contradictory_targets(spark):
+    targets = [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}]
+    weights, miss = raking.rake([("a", "x"), ("b", "y")], np.array([1.0, 1.0]), targets)
+    assert abs(weights.sum() - 1) < 1e-9 and miss > 0.3
+    frame = spark.createDataFrame([(1, "one two", "en", "a", "t"), (2, "three four", "de", "b", "t")], "doc_id long, text string, lang string, source string, topic string")
+    named = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": {"t": 1.0}}
+    assert raking.mixed(frame, named, topic_col="topic").first().miss > 0.3
+    with pytest.raises(ValueError):
+        raking.mixed(frame, named, topic_col="topic", most_miss=0.01)
+
+
+def test_raking(docs, none, spark):
+    out = raking.mixed(docs).cache()
     assert out.count() == len(DOCS) and raking.mixed(none).count() == 0
+    found = out.select("doc_id", "text", "lang", "source", "topic", "n_tokens", "weight", "probability", "sampled").collect()
+    assert brute.op10([tuple(r)[:6] for r in found], raking.TARGETS, 0.5, 42) == [(pytest.approx(r.weight, abs=1e-7), pytest.approx(r.probability, abs=1e-6), r.sampled) for r in found]
     kept = raking.sample(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, (r.doc_id for r in out.where("sampled").collect())))
+    twins = {r.sampled for r in found if r.doc_id == 10}
+    assert len(twins) == 1  # repeated rows are drawn alike
     whole = {r.doc_id for r in raking.mixed(docs, keep=1.0).where("n_tokens > 0 and probability > 0.999999").collect()}
     assert whole <= {r.doc_id for r in raking.sample(docs, keep=1.0).collect()}
+
+
+def test_repeated_words_of_clashing_hashes(spark):
+    """With two bits of hash left nearly all windows clash; counts must still be those of equal words."""
+    F = pytest.importorskip("pyspark.sql.functions")
+    rng = random.Random(6)
+    lists = [[rng.choice("abcde") for _ in range(n)] for n in (2, 3, 4, 9, 30, 60)] + [[f"w{k % 17}" for k in range(70)], [f"w{k}" for k in range(50)]]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k long, w array<string>")
+    want = {k: brute.op9([(k, " ".join(x))])[0][5] for k, x in enumerate(lists)}
+    for bits in (0, 62, 40):
+        found = frame.select("k", line_quality.repeated_words(F.col("w"), 3, bits).alias("n")).collect()
+        assert {r.k: r.n for r in found} == want
+
+
+CLASHES = ["i", "t", "x", "row", "k", "j", "u", "w", "pos", "of", "h", "key", "code", "label", "place", "piece", "__i", "__t", "__text", "__place", "__weight", "__topic", "topic", "lang.x", "class", "component_id", "first", "sampled"]
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_one, raking.sample, raking.mixed, line_quality.cleaned, line_quality.judged, lambda d: decontaminate.decontaminated(d, d.sparkSession.createDataFrame([(1, "of and river the stone")], "item_id long, text string"))])
+def test_columns_of_any_name_pass_through(spark, stage):
+    rng = random.Random(1)
+    rows_ = [(k, " ".join(rng.choice(["river", "stone.", "light", "moon", "sea"]) + str(rng.randrange(99)) for _ in range(80)) + ".", "en", "src1", *[f"{k}{c}" for c in CLASHES]) for k in range(12)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    out = stage(frame)
+    names = [c for c in frame.columns if c in out.columns]
+    replaced = {"topic", "sampled"} if stage is raking.mixed else set()
+    assert set(CLASHES) <= set(out.columns)
+    for r in out.collect():
+        assert all(r[c] == f"{r.doc_id}{c}" for c in CLASHES if c in names and c not in replaced)
+
+
+def test_topics_part_texts_of_unlike_words(spark):
+    rng = random.Random(3)
+    kinds = {"sea": "ship wave harbor sail tide".split(), "law": "court judge appeal statute clause".split()}
+    made = [(k, " ".join(rng.choice(kinds[name] + ["the", "of", f"n{rng.randrange(500)}"]) for _ in range(60)), lang, name) for k, (name, lang) in enumerate((n, x) for n in kinds for x in ("en", "de") for _ in range(60))]
+    frame = spark.createDataFrame([(d, t, x, "s") for d, t, x, _ in made], "doc_id long, text string, lang string, source string")
+    model = topics.fit(frame, 2)
+    found = model.label([t for _, t, _, _ in made], [x for *_, x, _ in made])
+    agree = np.mean([(f == 1) == (name == "law") for f, (*_, name) in zip(found, made)])
+    assert max(agree, 1 - agree) > 0.97
+    assert model.label(["", "  "], ["en", None]).tolist() == [-1, -1]
+    assert [r.topic for r in frame.select(topics.topic_column(model, frame.text, frame.lang).alias("topic")).collect()] == found.tolist()
+    counted = topics.counts(["The the SEA\nsea", "", "a"])
+    assert counted.sum(axis=1).tolist() == [4, 0, 1] and counted[0].max() == 2

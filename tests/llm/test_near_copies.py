@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from lodestrata.llm import near_copies
+from lodestrata.llm import blocks, near_copies
 from tests.llm import brute
 from tests.llm.test_contracts import DOCS, docs, none  # noqa: F401
 
@@ -38,8 +39,12 @@ def edited(rng, words, edits):
     return words
 
 
-def test_near_copies_are_all_pairs_of_the_similarity(spark):
-    """Chains, edits on both sides of 0.8, short and long texts, a passage that all share."""
+@pytest.mark.parametrize("bounded", [False, True])
+def test_near_copies_are_all_pairs_of_the_similarity(spark, monkeypatch, bounded):
+    """Chains, edits on both sides of 0.8, short and long texts, a passage that all share; with tasks of a few sets too."""
+    if bounded:
+        monkeypatch.setattr(near_copies, "KEY_SETS", 4)
+        monkeypatch.setattr(near_copies, "GROUP_SHINGLES", 3000)
     rng = random.Random(9)
     shared = [f"common{k}" for k in range(30)]
     rows = []
@@ -77,6 +82,42 @@ def test_keep_one(docs, none):  # noqa: F811
     assert near_copies.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [5, 23, 1000])
+def test_blocks_link_what_one_task_links(spark, limit):
+    """One key with a large class, several small ones and single sets; classes must not hang on how the key is dealt."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.r_[b[: 100 - e], rng.integers(0, 2**63, e).astype(np.uint64)]) for k, b in enumerate(base) for e in rng.integers(0, 14, 60 if k == 0 else 5 + k)]
+    sets += [rng.integers(0, 2**63, 90).astype(np.uint64) for _ in range(9)]
+    names = rng.permutation(len(sets)).tolist()
+    rows = [(7, n, 1, bytearray(np.sort(s).tobytes())) for n, s in zip(names, sets)] + [(8, n, 1, bytearray(np.sort(s).tobytes())) for n, s in zip(names[:40], sets)]
+    frame = spark.createDataFrame(rows, "key long, code long, w long, members binary").repartition(3)
+    links = blocks.linked_in_blocks(frame, near_copies._exact, near_copies._exact_across, limit, 10).collect()
+    whole = near_copies.linked([np.sort(s) for s in sets])
+    label = {n: n for n in names}
+    for a, b in links:
+        old, new = label[a], label[b]
+        label = {n: new if x == old else x for n, x in label.items()}
+    mine, want = {}, {}
+    for n, w in zip(names, whole):
+        mine.setdefault(label[n], set()).add(n)
+        want.setdefault(w, set()).add(n)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_hot_keys_are_shared_in_any_order():
+    """What _routed and _shared hand on, against a plain count, when keys are hot from the third set on."""
+    import pyarrow as pa
+
+    rows = {(1, 5), (1, 6), (2, 5), (3, 7), (3, 8), (3, 9)}
+    hot = [(9, 1 + n % 4, n) for n in range(50)] + [(9, 0, -1), (9, 0, -2), (9, 0, 777)]
+    table = sorted([*((k, 0, c) for k, c in rows), *hot, (1, 0, 5), (9, 2, 1)])
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in table[low : low + size]], pa.int64() if i != 1 else pa.int32()) for i in range(3)], ["key", "salt", "code"]) for low in range(0, len(table), size)]
+        found = [tuple(r.values()) for b in near_copies._shared(iter(batches)) for r in b.to_pylist()]
+        assert sorted(found) == sorted({(1, 5), (1, 6), (3, 7), (3, 8), (3, 9), (9, -1), (9, -2), (9, 777), *((9, n) for n in range(50))})
+
+
 def test_a_large_group_links_as_all_pairs_do():
     """Groups under one key of over 33 sets, near and far."""
     rng = np.random.default_rng(2)

@@ -3,11 +3,11 @@
 import hashlib
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from lodestrata.llm import raking, registry
+from lodestrata.llm import raking, registry, topics
 from tests.llm import brute
 from tests.oracle import connect, difference
 
@@ -41,13 +41,16 @@ def test_op2(spark, docs):
     assert run(spark, "op2_suffix_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op2(docs))
 
 
+def test_op3(spark, docs):
+    want = [(d, n, gone, words, hashlib.sha256(text.encode()).hexdigest()) for d, n, gone, words, text in brute.op3(docs)]
+    assert run(spark, "op3_sentence_spans", "doc_id", "n_sentences", "n_removed", "removed_words", "kept_sha256") == sorted(want)
+
+
 def test_op5(spark, docs):
     assert run(spark, "op5_vector_packing", "doc_id", "size", "text_crc32") == sorted((d, *brute.op5_facts(t)) for d, t in docs)
 
 
 def test_op6(spark, docs):
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(registry.tokenizer_file())
     want, start = [], 0
     for d, t in docs:
@@ -63,46 +66,72 @@ def test_every_document_has_a_row(spark, con, name):
     assert registry.queries()[name](spark, FOLDER).count() == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
 
 
-def test_pipeline(spark, docs):
-    """Each stage's documents against a plain version, all the way."""
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    con = duckdb.connect()
-    rows = {d: (t, lang, source) for d, t, lang, source in con.execute(f"SELECT doc_id, text, lang, source FROM '{FOLDER}/documents.parquet'").fetchall()}
-    verdict = connect(FOLDER).execute(f"SELECT doc_id, kept FROM ({registry.oracle_sql()['op9_line_quality']})").fetchall()
-    kept = {d: "\n".join(x for x in rows[d][0].split("\n") if not fails(x)) for d, ok in verdict if ok}
-    kept = {d: kept[d] for d, _, c in brute.op1(sorted(kept.items())) if d == c}
-    items = con.execute(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet'").fetchall()
-    kept = {r[0]: kept[r[0]] for r in brute.op8(sorted(kept.items()), items) if not r[5]}
-    cell = {d: (rows[d][2], rows[d][1], topic(t)) for d, t in kept.items()}
-    sizes: dict = {}
-    for d, t in kept.items():
-        sizes[cell[d]] = sizes.get(cell[d], 0) + len(t.split())
-    keys = sorted(sizes)
-    tokens = np.array([float(sizes[k]) for k in keys])
-    weights = raking.rake(keys, tokens, [raking.TARGETS[k] for k in ("source", "lang", "topic")])
-    chance = dict(zip(keys, raking.probabilities(weights, tokens, 0.5 * tokens.sum())))
-    drawn = lambda d: int(hashlib.md5(f"42:{d}".encode()).hexdigest()[:12], 16) / 16**12
-    kept = {d: t for d, t in kept.items() if drawn(d) < chance[cell[d]]}
-    from tokenizers import Tokenizer
-
+def plain_pipeline(spark, rows, items):
+    """What the pipeline gives for rows (doc_id, text, lang, source), stage by stage, from plain versions."""
+    from tests.llm.test_near_copies import classes
+
+    kept = []
+    for d, text, lang, source in rows:
+        _, _, chars, *_, failed = brute.op9([(d, text)])[0]
+        lines = (text or "").split("\n")
+        lost = sum(len(w) for x in lines if fails(x) for w in brute.BLANKS.findall(x))
+        if not failed and 100 * lost <= 50 * chars:
+            kept.append((d, "\n".join(x for x in lines if not fails(x)), lang, source))
+    groups: dict = {}
+    for row, c in zip(kept, classes([r[:2] for r in kept])):
+        if c is None or row[0] == c:
+            key = c if c is not None else ("nameless", row[1])
+            groups[key] = min(groups.get(key, row), row, key=lambda r: r[1])
+    kept = list(groups.values())
+    kept = [r for r, found in zip(kept, brute.op8([r[:2] for r in kept], items)) if not found[5]]
+    frame = spark.createDataFrame(kept, "doc_id long, text string, lang string, source string")
+    labels = topics.fit(frame, raking.TOPICS).label([r[1] for r in kept], [r[2] for r in kept]).tolist()
+    named = [(*r, f"topic{n}" if n >= 0 else "other", len(brute.BLANKS.findall(r[1]))) for r, n in zip(kept, labels)]
+    kept = [r for r, (_, _, drawn) in zip(kept, brute.op10(named, raking.TARGETS, 0.5, 42)) if drawn]
     tokenizer = Tokenizer.from_file(registry.tokenizer_file())
     want, start = [], 0
-    for d, t in sorted(kept.items()):
+    for d, t, *_ in sorted(kept, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
+    return want
+
+
+def test_pipeline(spark, con):
+    """Each stage's documents against a plain version, all the way."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall()
+    want = plain_pipeline(spark, rows, con.execute("SELECT item_id, text FROM benchmark").fetchall())
     assert len(want) > 20
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, FOLDER).collect()) == want
 
 
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows and ids, clashing names, and no documents at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_contracts import DOCS, ITEMS
+
+    extra = [(40 + k, f"{t} Number {k}. " + " ".join(f"w{k}x{j}" for j in range(60)), None if k % 3 else "de", "src1" if k % 2 else None) for k, (_, t) in enumerate(DOCS) if t]
+    rows = [(d, t, "en" if d else None, f"src{(d or 0) % 3}") for d, t in DOCS] + extra + extra[:2]
+    extra += [(100 + k, " ".join(f"word{k}x{j % 57}." for j in range(70 + k)), ["de", "fr", None][k % 3], f"src{k % 4}") for k in range(30)]
+    schema = "doc_id long, text string, lang string, source string, i string, t string, row string, class string, topic string, `a.b` string"
+    for name, chosen in (("some", rows), ("none", [])):
+        spark.createDataFrame([(*r, "i", "t", "row", "class", "mine", "ab") for r in chosen], schema).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    want = plain_pipeline(spark, rows, [x for x in ITEMS if x[0] is not None])
+    assert len(want) > 5
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in found), key=key) == want
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def fails(line):
     from lodestrata.llm.line_quality import BOILERPLATE
 
-    if not brute.BLANKS.search(line):
+    words = len(brute.BLANKS.findall(line))
+    if not words:
         return False
-    symbols = sum(c in "#*$%&|<>" for c in line)
-    return line.count("|") >= 3 or any(b in line.lower() for b in BOILERPLATE) or not any(c in ".!?…。؟" for c in line) or 10 * symbols > len(line)
-
-
-def topic(text):
-    return next((name for name, marks in raking.TOPIC_MARKS.items() if any(m in text for m in marks)), raking.OTHER)
+    symbols, between = sum(c in "#*$%&|<>" for c in line), sum(c in "|›»·•" for c in line)
+    navigation = between >= 3 or 0 < between and 3 * between >= words
+    return navigation or any(b in line.lower() for b in BOILERPLATE) or not any(c in ".!?…。؟" for c in line) or 10 * symbols > len(line)
