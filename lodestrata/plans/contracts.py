@@ -103,7 +103,7 @@ def presentation_claims(spark, d):
     claims, steps = _claims_steps(spark, d)
     out = contracts.presentation_claims(claims.select("claim_id"), argument.roles(claims, steps), argument.audit(claims, steps), steps)
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return out.select("claim_id", "role", "integrity", join("incoming_step_ids"), join("outgoing_step_ids"))
+    return out.select("claim_id", "role", "integrity", join("affecting_step_ids"), join("incoming_step_ids"), join("outgoing_step_ids"))
 
 
 QUERIES = [json_object_entries, nested_passages, integral_labels, aspect_maps, asymmetric_links, prompt_citations, citation_checks, applicability_checks, gap_checks, translations, first_mismatches, capped_direction, cached_usage, presentation_claims]
@@ -132,9 +132,9 @@ ORACLE = {
     "cached_usage": """SELECT count(*) FILTER (WHERE item_id % 3 > 0) AS completed, count(*) FILTER (WHERE item_id % 3 = 0) AS missing, CAST(sum(length(text)) FILTER (WHERE item_id % 3 > 0) AS BIGINT) AS input_tokens,
         CAST(sum(item_id) FILTER (WHERE item_id % 3 > 0) AS BIGINT) AS output_tokens FROM benchmark""",
     "presentation_claims": f"""WITH {STEPS}, u AS (SELECT claim_id, evidence_status, claim_id IN (SELECT premise FROM links) AS p, claim_id IN (SELECT next FROM links) AS c FROM claims),
-        i AS (SELECT conclusion AS claim_id, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) AS ids, bool_or(gap) AS gapped FROM steps GROUP BY 1),
+        i AS (SELECT conclusion AS claim_id, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) AS ids, bool_or(gap) AS gapped, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) FILTER (WHERE gap) AS gaps FROM steps GROUP BY 1),
         o AS (SELECT claim_id, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) AS ids FROM (SELECT DISTINCT step_id, unnest(premises) AS claim_id FROM steps) GROUP BY 1)
         SELECT claim_id, CASE WHEN p AND c THEN 'INTERMEDIATE' WHEN p THEN 'PREMISE' WHEN c THEN 'CONCLUSION' ELSE 'STANDALONE' END AS role,
           CASE WHEN evidence_status = 'ERROR' THEN 'ERROR' WHEN i.ids IS NULL THEN 'NOT_APPLICABLE' WHEN gapped THEN 'GAPPED' ELSE 'INTACT' END AS integrity,
-          coalesce(i.ids, '') AS incoming_step_ids, coalesce(o.ids, '') AS outgoing_step_ids FROM u LEFT JOIN i USING (claim_id) LEFT JOIN o USING (claim_id)""",
+          coalesce(gaps, '') AS affecting_step_ids, coalesce(i.ids, '') AS incoming_step_ids, coalesce(o.ids, '') AS outgoing_step_ids FROM u LEFT JOIN i USING (claim_id) LEFT JOIN o USING (claim_id)""",
 }

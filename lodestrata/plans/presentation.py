@@ -117,6 +117,16 @@ raw AS (SELECT doc_id, 0 AS k, 'title' AS section, title AS text FROM m WHERE ti
 ORACLE = {
     "article_segments": f"""WITH {_ARTICLES} SELECT doc_id, row_number() OVER w - 1 AS section_index, section, length(text) AS chars,
         coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS document_start FROM raw WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY k)""",
+    "article_sentences": rf"""WITH {_ARTICLES}, seg AS (SELECT doc_id, row_number() OVER w - 1 AS section_index, section, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+          FROM raw WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+        cut AS (SELECT *, string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM seg),
+        pc AS (SELECT doc_id, section_index, section, off, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS j FROM cut),
+        o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, section_index ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, regexp_replace(piece, '^\s+', '') AS bare FROM pc),
+        s AS (SELECT doc_id, section_index, section, off, j, before + length(piece) - length(bare) AS st, regexp_replace(bare, '\s+$', '') AS core FROM o),
+        t AS (SELECT *, st + length(core) AS en FROM s WHERE core <> '')
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_index, j) - 1 AS sentence_index, row_number() OVER (PARTITION BY doc_id, section_index ORDER BY j) - 1 AS sentence_index_within_section,
+          CASE WHEN section = 'title' THEN 'title' ELSE 'abstract' END AS sentence_type, section, section_index, off + st AS character_start, off + en AS character_end, st AS section_character_start, en AS section_character_end,
+          substr(sha256(doc_id || chr(0) || (off + st) || chr(0) || (off + en) || chr(0) || core), 1, 24) AS sentence_id FROM t""",
     "sentence_checks": "SELECT unnest(['contiguous', 'offsets_rise', 'text_in_place']) AS \"check\", 0::BIGINT AS violations",
     "highlight_segments": """WITH r AS (SELECT conv_id, length(text) AS n FROM conversations WHERE turn = 0), c AS (SELECT conv_id, n, list_sort(list_distinct([0, n, least(n, 10), least(n, 5), least(n, 20), least(n, 15)])) AS c FROM r)
         SELECT conv_id, len(c) - 1 AS pieces, least(n, 10) + (least(n, 20) - least(n, 5)) + (n - least(n, 15)) AS covered FROM c""",
