@@ -350,11 +350,13 @@ def deduplicated(docs: DataFrame, width: int = 50, doc_shard_bytes: int = 12 <<
     routes = max(1, -(-total // array_bytes))
     buckets = min(routes, MOST_PARTITIONS)
     by_number = lambda df, column, n: df.repartitionById(min(n, MOST_PARTITIONS), F.pmod(F.col(column), F.lit(min(n, MOST_PARTITIONS))).cast("int"))
+    # Of as many partitions as there are shards each gets one; a hash of their numbers would put several in one.
+    apart = lambda df: df.repartitionById(shards, "shard") if shards <= MOST_PARTITIONS else df.repartition(MOST_PARTITIONS, "shard")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)).cast("int"))
     counted = rows.select("shard", "text").mapInArrow(_minimizers(width, buckets), "bucket long, hashes binary, shards binary, many binary")
     shared = by_number(counted, "bucket", buckets).mapInArrow(_shared(hot), "shard int, hashes binary, hot binary")
-    by_shard = rows.repartition(min(shards, MOST_PARTITIONS), "shard")
-    going = by_shard.groupBy("shard").cogroup(shared.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard")).applyInArrow(_segments(width, routes), _ROUTED)
+    by_shard = apart(rows)
+    going = by_shard.groupBy("shard").cogroup(apart(shared).groupBy("shard")).applyInArrow(_segments(width, routes), _ROUTED)
     cuts = by_number(going, "route", routes).sortWithinPartitions("route").mapInArrow(_cut_classes(width, array_bytes), "shard int, cuts binary")
-    done = by_shard.groupBy("shard").cogroup(cuts.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard"))
+    done = by_shard.groupBy("shard").cogroup(apart(cuts).groupBy("shard"))
     return done.applyInArrow(_apply(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
