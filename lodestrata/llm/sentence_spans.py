@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import stored
+from lodestrata.llm.characters import BLANK, A, B, codes_of, mix, part_hashes, table
+from lodestrata.llm.common import slices, stored
 
 #: Full stops that no blank has to follow; with quotes and brackets after them they end a word as well.
 _STOPS = "。…"
@@ -30,38 +31,11 @@ _QUOTES = "\"'”’)]"
 #: Words of the shortest piece of a long sentence, and of the longest.
 LEAST_WORDS = 4
 MOST_WORDS = 12
-#: Characters that go through together (a longer text alone), and that are hashed at once.
+#: Characters that go through together; a longer text goes alone.
 BATCH_CHARS = 1 << 19
-HASH_CHARS = 1 << 18
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_BASES = (0xD1342543DE82EF95, 0xDA942042E4DD58B5)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _C
-    return x ^ (x >> np.uint64(29))
-
-
-def _table(characters: str) -> np.ndarray:
-    out = np.zeros(1 << 16, bool)
-    out[[ord(c) for c in characters]] = True
-    return out
-
-
-_BLANK = _table("".join(chr(k) for k in range(1 << 16) if chr(k).isspace()))
-_QUOTE, _MARK = _table(_QUOTES), _table(_MARKS)
-
-
-def _characters(codes: np.ndarray, lane: int) -> np.ndarray:
-    return _mix((codes.astype(np.uint64) + np.uint64(1)) * (_A, _B)[lane])
-
-
-_HASHES = [np.where(_BLANK, np.uint64(0), _characters(np.arange(1 << 16), lane)) for lane in (0, 1)]
-_POWERS = [np.cumprod(np.r_[np.uint64(1), np.full(HASH_CHARS - 1, base, np.uint64)]) for base in _BASES]
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+_QUOTE, _MARK = table(_QUOTES), table(_MARKS)
 
 
 def _lower(text: str) -> str:
@@ -70,35 +44,6 @@ def _lower(text: str) -> str:
     return out if len(out) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def _word_hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each word (from its start to the next one's), blanks aside: sums over its characters, so that a long word is summed up part by part."""
-    out = np.zeros((len(starts), 2), np.uint64)
-    for low in range(0, len(codes), HASH_CHARS):
-        part = codes[low : low + HASH_CHARS]
-        first, end = np.searchsorted(starts, [low, low + len(part)])
-        own = starts[first:end] - low
-        goes_on = first > 0 and (first == end or own[0] > 0)
-        if goes_on:
-            own = np.r_[0, own]
-        if not len(own):
-            continue
-        part = part[own[0] :]
-        own = own - own[0]
-        turn = np.arange(len(part)) - np.repeat(own, np.diff(np.r_[own, len(part)]))
-        place = np.minimum(part, 0xFFFF)
-        rare = np.flatnonzero(part > 0xFFFF)
-        for lane in (0, 1):
-            value = _HASHES[lane][place]
-            if len(rare):
-                value[rare] = _characters(part[rare], lane)
-            sums = np.add.reduceat(value * _POWERS[lane][turn], own)
-            if goes_on:
-                out[first - 1, lane : lane + 1] += sums[:1] * np.uint64(pow(_BASES[lane], int(low - starts[first - 1]), 1 << 64))
-                sums = sums[1:]
-            out[first:end, lane] = sums
-    return _mix(out)
-
-
 def _places(pairs: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
     """Places before which words are cut: ``starts`` (of the sentences, the last one their end) and cuts inside long sentences.
 
@@ -130,29 +75,29 @@ def _places(pairs: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(hashes), np.uint64)
-    out[1:] = _mix(hashes[:-1, 0] * _A + hashes[1:, 0] * _B)
+    out[1:] = mix(hashes[:-1, 0] * A + hashes[1:, 0] * B)
     return out
 
 
 def _cuts(words: list[str], most: int = MOST_WORDS) -> list[int]:
     """Places inside one sentence before which it is cut."""
     starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
-    return _places(_pairs(_word_hashes(_codes(_lower(" ".join(words))), starts)), np.array([0, len(words)]), most)[1:-1].tolist()
+    return _places(_pairs(part_hashes(codes_of(_lower(" ".join(words))), starts)), np.array([0, len(words)]), most)[1:-1].tolist()
 
 
 def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, code) of every word of the texts in lower case; code is a 64-bit hash."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = _codes("".join(map(_lower, texts)))
+    codes = codes_of("".join(map(_lower, texts)))
     begins = np.zeros(len(codes) + 1, bool)
     base = np.cumsum(lengths) - lengths
     begins[base] = True
-    blank = _BLANK[np.minimum(codes, 0xFFFF)]
+    blank = BLANK[np.minimum(codes, 0xFFFF)]
     begins[1:-1] |= blank[:-1]
     begins[:-1] &= ~blank
     starts = np.flatnonzero(begins[:-1])
     text = np.searchsorted(base, starts, "right") - 1
-    return text, _word_hashes(codes, starts)[:, 0]
+    return text, part_hashes(codes, starts)[:, 0]
 
 
 class Pieces:
@@ -165,12 +110,12 @@ class Pieces:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         base = np.cumsum(lengths) - lengths
         joined = "".join(texts)
-        codes = _codes(joined)
+        codes = codes_of(joined)
         n = len(codes)
         begins = np.zeros(n + 1, bool)
         begins[base] = True
         place = np.minimum(codes, 0xFFFF).astype(np.uint16)
-        blank = _BLANK[place]
+        blank = BLANK[place]
         begins[1:n] |= blank[: n - 1]
         begins[:n] &= ~blank
         if any(c in joined for c in _STOPS):
@@ -197,7 +142,7 @@ class Pieces:
         sentences[firsts] = sentences[total] = True
         sentences[1:] |= ends
         sentences = np.flatnonzero(sentences)
-        hashes = _word_hashes(_codes("".join(map(_lower, texts))), starts)
+        hashes = part_hashes(codes_of("".join(map(_lower, texts))), starts)
         places = _places(_pairs(hashes), sentences, most) if total else sentences
         low, high = places[:-1], places[1:]
         text = text_of[low]
@@ -208,7 +153,7 @@ class Pieces:
         begin = np.where(np.r_[True, text[1:] != text[:-1]] if total else ends_text, 0, starts[low] - base[text])
         if total:
             turn = (np.arange(total) - np.repeat(low, size)).astype(np.uint64)
-            lanes = [np.add.reduceat(_mix(hashes[:, k] + (turn + np.uint64(1)) * c), low) for k, c in ((0, _A), (1, _B))]
+            lanes = [np.add.reduceat(mix(hashes[:, k] + (turn + np.uint64(1)) * c), low) for k, c in ((0, A), (1, B))]
         else:
             lanes = [np.zeros(0, np.uint64)] * 2
         wordless = np.ones(len(texts), bool)
@@ -232,10 +177,10 @@ class Pieces:
             return none, none, none, none
         same = np.flatnonzero((self.text[:n] == self.text[run - 1 :]) & (self.words[:n] > 0))
         out = []
-        for lane, c in zip(self.lanes, (_A, _B)):
+        for lane, c in zip(self.lanes, (A, B)):
             code = np.full(len(same), np.uint64(run))
             for k in range(run):
-                code = _mix(code * c + lane[same + k])
+                code = mix(code * c + lane[same + k])
             out.append(code.view(np.int64))
         return self.text[same], same - self.first[self.text[same]], *out
 
@@ -250,24 +195,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of some BATCH_CHARS, a longer text alone."""
-    low, held = 0, 0
-    for k, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if held and held + size > BATCH_CHARS:
-            yield batch.slice(low, k - low)
-            low, held = k, 0
-        held += size
-    if low < batch.num_rows:
-        yield batch.slice(low)
-
-
 def spans(docs: DataFrame, run: int = 3) -> DataFrame:
     """(h1, h2, i, t, at): every run of sentences; i and t name the document and its text, at is the run's first sentence."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 2):
+            for part in slices(batch, 2, BATCH_CHARS):
                 row, at, h1, h2 = Pieces(part.column(2).to_pylist()).runs(run)
                 index = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), part.column(0).take(index), part.column(1).take(index), pa.array(at, pa.int32())], ["h1", "h2", "i", "t", "at"])
@@ -297,7 +230,7 @@ def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in slices(batch, 1, BATCH_CHARS):
                 texts = part.column(1).to_pylist()
                 pieces = Pieces(texts)
                 gone = np.zeros(len(pieces.text) + run, bool)

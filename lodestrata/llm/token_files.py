@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,18 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import new_path, stored
+from lodestrata.llm.characters import BLANK, codes_of, part_hashes
+from lodestrata.llm.common import new_path, slices, stored
 from lodestrata.llm.simple8b import decode, encode
 
 MAGIC = b"LSTOK8B1"
 #: Ids after which a segment ends (a longer document is a segment of its own), and segments after which a file ends.
 SEGMENT_IDS = 1 << 20
 FILE_SEGMENTS = 32
-#: Known pieces are dropped when there are so many, which bounds a worker's memory.
+#: Known pieces are dropped when there are so many, which bounds a worker's memory; longer pieces aren't remembered.
 CACHE_PIECES = 800_000
-#: A blank that isn't followed by a word: there the pre-tokenizer might not cut, so we don't either.
+LONGEST_KNOWN = 64
+#: Characters of texts that are encoded side by side; a longer text goes alone.
+BATCH_CHARS = 1 << 19
 _CLOSING = ".,!?;:"
-_UNSAFE = re.compile(r" (?=\s|$)")
 
 
 class PieceEncoder:
@@ -40,8 +41,10 @@ class PieceEncoder:
 
     The pre-tokenizer always cuts before a blank that a non-blank follows, and no merge crosses a cut, so a text's ids
     are its pieces' ids one after another. It also cuts between a letter and a closing mark that ends a piece, so a
-    piece with such a mark is put together from two. Pieces not seen yet go to the tokenizers library many at once, as
-    one text, since each call costs far more than a piece; byte counts tell whose the ids are.
+    piece with such a mark is put together from two. Pieces are found in all texts of a batch side by side and known by
+    two 64-bit hashes, in a table of open addresses; their ids lie in one array. Pieces not seen yet go to the
+    tokenizers library many at once, as one text, since each call costs far more than a piece; byte counts tell whose
+    the ids are.
     """
 
     def __init__(self, spec: str):
@@ -49,54 +52,163 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
         #: Bytes of each token, if tokens are spelled byte by byte; then ids can be told apart by counting bytes.
         self.sizes = None
         if (json.loads(spec).get("pre_tokenizer") or {}).get("type") == "ByteLevel":
             self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, k in self.tokenizer.get_vocab().items():
                 self.sizes[k] = len(token)
-
-    def pieces(self, text: str) -> list[str]:
-        if " " not in text:
-            return [text]
-        if not _UNSAFE.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + p for p in rest]]
-        cuts = [m.start() for m in re.finditer(r" (?=\S)", text)]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-
-    def _learn(self, pieces: list[str]) -> None:
-        joined = [p for p in pieces if p[:1] == " " and not p[1:2].isspace() and len(p) > 1] if self.sizes is not None else []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.count = self.filled = 0
+        self.slots = np.full(1 << (2 * CACHE_PIECES).bit_length(), -1, np.int32)
+        self.one, self.two = np.zeros((2, 1 << 16), np.uint64)  # the pieces' hashes
+        self.first = np.zeros((1 << 16) + 1, np.int64)  # where a piece's ids begin, and behind the last where they end
+        self.ids = np.zeros(1 << 18, np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; -1 for those not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        rest = np.arange(len(hashes))
+        slot = (hashes[:, 0] & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        one, two = np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1])
+        while len(rest):
+            there = self.slots[slot]
+            same = (self.one[there] == one) & (self.two[there] == two) & (there >= 0)
+            out[rest[same]] = there[same]
+            going = np.flatnonzero(~same & (there >= 0))
+            rest, one, two, slot = rest[going], one[going], two[going], (slot[going] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _add(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Remember pieces that aren't known yet, each once; ids are theirs one after another."""
+        low, high = self.count, self.count + len(hashes)
+        if high > len(self.one):
+            grown = max(high, 2 * len(self.one))
+            self.one, self.two = (np.concatenate([x, np.zeros(grown - len(x), np.uint64)]) for x in (self.one, self.two))
+            self.first = np.concatenate([self.first, np.zeros(grown + 1 - len(self.first), np.int64)])
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+        self.one[low:high], self.two[low:high] = hashes[:, 0], hashes[:, 1]
+        self.first[low : high + 1] = self.filled + np.concatenate([[0], np.cumsum(lengths)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.count, self.filled = high, self.filled + len(ids)
+        rest = np.arange(low, high)
+        slot = (hashes[:, 0] & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(rest):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            self.slots[slot[free]] = rest[free]  # of several for one slot the last has it
+            going = self.slots[slot] != rest
+            rest, slot = rest[going], (slot[going] + 1) & (len(self.slots) - 1)
+
+    def _taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of each) of known pieces."""
+        first = self.first[numbers]
+        lengths = self.first[numbers + 1] - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
+        return self.ids[at], lengths
+
+    def _plain(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, how many ids each, the ids) of pieces from the tokenizers library; order says which piece comes when."""
+        joined = [k for k, p in enumerate(pieces) if p[:1] == " " and not p[1:2].isspace() and len(p) > 1] if self.sizes is not None else []
+        alone = sorted(set(range(len(pieces))).difference(joined)) if len(joined) < len(pieces) else []
+        counts, ids = [], []
         for k in range(0, len(joined), 1024):
-            part = joined[k : k + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.sizes[ids])
+            part = [pieces[j] for j in joined[k : k + 1024]]
+            found = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.sizes[found])
             wanted = np.cumsum([len(p.encode()) for p in part])
             cuts = np.searchsorted(ends, wanted) + 1
             if (ends[cuts - 1] != wanted).any():
                 raise ValueError("a token crosses two pieces")
-            cuts = cuts.tolist()
-            for piece, low, high in zip(part, [0, *cuts], cuts):
-                self.known[piece] = ids[low:high].tobytes()
-        alone = [p for p in pieces if p not in self.known]
-        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            counts.append(np.diff(cuts, prepend=0))
+            ids.append(found)
+        rest = self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False)
+        counts.append(np.array([len(x.ids) for x in rest], np.int64))
+        ids.append(np.array([i for x in rest for i in x.ids], np.uint32))
+        return joined + alone, np.concatenate(counts), np.concatenate(ids)
+
+    def _learn(self, pieces: list[str], hashes: np.ndarray) -> None:
+        """Remember pieces that aren't known yet, each once. Those with a closing mark come from their stem and the mark."""
+        marked = np.array([len(p) > 2 and p[-1] in _CLOSING and p[-2].isalpha() for p in pieces], bool)
+        new, codes = [p for p, m in zip(pieces, marked.tolist()) if not m], hashes[~marked]
+        ends = [p for p, m in zip(pieces, marked.tolist()) if m]
+        if ends:
+            parts = list({q for p in ends for q in (p[:-1], p[-1])})
+            own = _hashes_of(parts)
+            fresh = np.flatnonzero((self._find(own) < 0) & ~np.isin(own[:, 0], codes[:, 0]))
+            new += [parts[k] for k in fresh.tolist()]
+            codes = np.concatenate([codes, own[fresh]])
+        if new:
+            order, counts, ids = self._plain(new)
+            self._add(codes[order], counts, ids)
+        if ends:
+            stems, marks = self._find(_hashes_of([p[:-1] for p in ends])), self._find(_hashes_of([p[-1] for p in ends]))
+            sound = (stems >= 0) & (marks >= 0)  # else another piece has the first hash of one of them
+            ids, lengths = self._taken(np.stack([stems[sound], marks[sound]], axis=1).ravel())
+            self._add(hashes[marked][sound], lengths.reshape(-1, 2).sum(axis=1), ids)
+
+    def arrays(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many of each), with the end id behind each text if there is one."""
+        joined = "".join(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        base = np.cumsum(lengths) - lengths
+        codes = codes_of(joined)
+        begins = np.zeros(len(codes) + 1, bool)
+        begins[base] = True
+        blank = BLANK[np.minimum(codes, 0xFFFF)]
+        cut = (codes[:-1] == 32) & ~blank[1:] & ~begins[1:-1] if len(codes) else codes.astype(bool)
+        begins[: max(len(codes) - 1, 0)] |= cut
+        starts = np.flatnonzero(begins[:-1])
+        stops = np.append(starts[1:], len(codes))[: len(starts)]
+        hashes = part_hashes(codes, starts, blanks=True)
+        numbers = self._find(hashes)
+        short = stops - starts <= LONGEST_KNOWN
+        missing = np.flatnonzero((numbers < 0) & short)
+        if len(missing):
+            if self.count + len(missing) > CACHE_PIECES and self.count:
+                self._forget()
+                missing = np.flatnonzero(short)
+            _, once = np.unique(hashes[missing, 0], return_index=True)
+            for low in range(0, len(once), CACHE_PIECES // 2):
+                chosen = missing[once[low : low + CACHE_PIECES // 2]]
+                self._learn([joined[a:b] for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())], hashes[chosen])
+            numbers = self._find(hashes)
+        long = np.flatnonzero(numbers < 0)
+        if len(long):  # pieces too long to be remembered, or whose first hash another piece has
+            ids, counts = self._mixed(numbers, long, [joined[a:b] for a, b in zip(starts[long].tolist(), stops[long].tolist())])
+        else:
+            ids, counts = self._taken(numbers)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        piece = np.searchsorted(starts, np.append(base, len(codes)))
+        per = np.diff(upto[piece])
+        if end_id is None:
+            return ids, per
+        return np.insert(ids, np.cumsum(per), end_id), per + 1
+
+    def _mixed(self, numbers: np.ndarray, long: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and counts of pieces of which some aren't known; those are given."""
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        known = np.maximum(numbers, 0)
+        counts = self.first[known + 1] - self.first[known]
+        counts[long] = [len(x.ids) for x in found]
+        mask = np.repeat(numbers < 0, counts)
+        out = np.empty(len(mask), np.uint32)
+        out[~mask] = self._taken(numbers[numbers >= 0])[0]
+        out[mask] = [i for x in found for i in x.ids]
+        return out, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        known = self.known
-        missing = {p for ps in split for p in ps if p not in known}
-        if len(known) + len(missing) > CACHE_PIECES:
-            known.clear()
-            missing = {p for ps in split for p in ps}
-        marked = [p for p in missing if len(p) > 2 and p[-1] in _CLOSING and p[-2].isalpha()]
-        stems = {q for p in marked for q in (p[:-1], p[-1])}
-        self._learn([p for p in (missing.difference(marked) | stems) if p not in known])
-        for p in marked:
-            known[p] = known[p[:-1]] + known[p[-1]]
-        return [b"".join(map(known.__getitem__, ps)) for ps in split]
+        ids, counts = self.arrays(texts)
+        data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
+        return [data[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())]
+
+
+def _hashes_of(pieces: list[str]) -> np.ndarray:
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return part_hashes(codes_of("".join(pieces)), np.cumsum(lengths) - lengths, blanks=True)
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -155,30 +267,32 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: st
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
-        names: list[int | None] = []
-        parts: list[bytes] = []
-        held = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # ids of documents, how many token ids each has, these
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            counts = np.array([len(p) // 4 for p in parts])
-            data = segment(names, counts, np.frombuffer(b"".join(parts), "<u4"))
+            names, counts, ids = zip(*held)
+            data = segment(pa.concat_arrays(names).to_pylist(), np.concatenate(counts), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                for name, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    names.append(name)
-                    parts.append(ids + tail)
-                    held += len(ids) // 4 + 1
-                    if held >= segment_ids:
+            for part in slices(batch, 1, BATCH_CHARS):
+                ids, counts = encoder.arrays([t or "" for t in part.column(1).to_pylist()], end_id)
+                ends = np.cumsum(counts)
+                low = at = 0
+                while low < len(counts):  # as many documents as fill the segment
+                    high = min(len(counts), int(np.searchsorted(ends, at + segment_ids - size)) + 1)
+                    held.append((part.column(0).slice(low, high - low), counts[low:high], ids[at : ends[high - 1]]))
+                    size += int(ends[high - 1]) - at
+                    low, at = high, int(ends[high - 1])
+                    if size >= segment_ids:
                         yield flush()
-                        names, parts, held = [], [], 0
-        if names:
+                        held.clear()
+                        size = 0
+        if held:
             yield flush()
 
     path = path or new_path(spark, "tokens")
