@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import squeezed, text_hash
+from lodestrata.storage import stored
 
 
 def variants(rows: DataFrame, key: str = "article_id", text: str = "text") -> DataFrame:
@@ -33,13 +34,16 @@ def conflicts(rows: DataFrame, key: str = "article_id") -> DataFrame:
 
 
 def dense_index(rows: DataFrame, key: str, name: str = "doc_idx") -> DataFrame:
-    """rows with 0..n-1 in order of key, without a global window: ranges are sorted apart and offset by their counts."""
-    spread = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    counts = spread.groupBy("__p").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))  # a row a partition
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    return spread.withColumn("__r", place).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + F.col("__r")).drop("__p", "__r", "__o")
+    """rows with 0..n-1 in order of key, without a global window: ranges are sorted apart and offset by their counts.
+
+    The ranges are written once, so that counts and rows are of the same ones. Columns of rows may have any names.
+    """
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{key}`").alias("k"))
+    spread, _ = stored(held.repartitionByRange("k").withColumn("p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1
+    return spread.withColumn("r", place).join(F.broadcast(offsets), "p").select("row.*", (F.col("o") + F.col("r")).alias(name))
 
 
 def consolidated(judgments: DataFrame) -> DataFrame:
