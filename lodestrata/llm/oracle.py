@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm.line_quality import BOILERPLATE, SEPARATORS, SYMBOLS
+from lodestrata.llm.line_quality import NOTICE, SEPARATORS, SYMBOLS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS8 = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -27,7 +27,7 @@ g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array
 twice AS (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM g SEMI JOIN twice USING (doc_id, gram)) GROUP BY 1),
 l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD9}')),
-f AS (SELECT doc_id, line, (length(line) - length(translate(line, '{SEPARATORS}', '')) >= 3 OR length(line) > length(translate(line, '{SEPARATORS}', '')) AND 3 * (length(line) - length(translate(line, '{SEPARATORS}', ''))) >= len(regexp_extract_all(line, '{_WORD9}'))) OR regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')
+f AS (SELECT doc_id, line, (length(line) - length(translate(line, '{SEPARATORS}', '')) >= 3 OR length(line) > length(translate(line, '{SEPARATORS}', '')) AND 3 * (length(line) - length(translate(line, '{SEPARATORS}', ''))) >= len(regexp_extract_all(line, '{_WORD9}'))) OR regexp_matches(lower(line), '{NOTICE}')
   OR NOT regexp_matches(line, '[.!?\x{{2026}}\x{{3002}}\x{{061F}}]') OR 10 * (length(line) - length(translate(line, '{SYMBOLS}', ''))) > length(line) AS fails FROM l),
 c AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (WHERE fails), 0)::BIGINT AS lost FROM f GROUP BY 1),
 m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,

@@ -473,8 +473,8 @@ def test_repeated_words_of_clashing_hashes(spark):
     lists = [[rng.choice("abcde") for _ in range(n)] for n in (2, 3, 4, 9, 30, 60)] + [[f"w{k % 17}" for k in range(70)], [f"w{k}" for k in range(50)]]
     frame = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k long, w array<string>")
     want = {k: brute.op9([(k, " ".join(x))])[0][5] for k, x in enumerate(lists)}
-    for bits in (0, 62, 40):
-        found = frame.select("k", line_quality.repeated_words(F.col("w"), 3, bits).alias("n")).collect()
+    for bits, few in ((0, 64), (62, 0), (40, 0), (62, 64), (0, 1)):
+        found = frame.select("k", line_quality.repeated_words(F.col("w"), 3, bits, few).alias("n")).collect()
         assert {r.k: r.n for r in found} == want
 
 

@@ -1,6 +1,7 @@
 """The queries that SQL can express against that SQL; the others against the brute-force versions, on whole small tables."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -134,4 +135,4 @@ def fails(line):
         return False
     symbols, between = sum(c in "#*$%&|<>" for c in line), sum(c in "|›»·•" for c in line)
     navigation = between >= 3 or 0 < between and 3 * between >= words
-    return navigation or any(b in line.lower() for b in BOILERPLATE) or not any(c in ".!?…。؟" for c in line) or 10 * symbols > len(line)
+    return navigation or any(re.search("(?<![a-z])" + b, line.lower()) for b in BOILERPLATE) or not any(c in ".!?…。؟" for c in line) or 10 * symbols > len(line)
