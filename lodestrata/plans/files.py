@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import presentation, selection, stance
+from lodestrata.operators import argument, presentation, selection, stance
 from lodestrata.plans.roles import JUDGMENTS, judgments, table
 from lodestrata.sources import readers, writers
 from lodestrata.storage import new_path
@@ -114,6 +114,14 @@ def report_lines(spark, d):
     return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
 
 
+def run_exports(spark, d):
+    """Runs' results as JSON lines, written, read back as text, and taken apart again."""
+    rows = argument.run_status(table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("failed")), "o_custkey")
+    path = new_path(spark, "export")
+    writers.write_json_lines(rows, path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.o_custkey").cast("long").alias("o_custkey"), F.col("value").alias("line"))
+
+
 def stored_manifest(spark, d):
     """A table's count and content hash against those of its copy on disk, and of one with a value changed."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
@@ -166,7 +174,7 @@ def unique_events(spark, d):
     return runs.deduplicated(events.union(events.where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = [split_scan, row_locators, point_lookup, csv_unknown_dialect, csv_union, article_files, run_file_checks, conformed_rows, sharded_files, guarded_write, combined_shards, report_lines, stored_manifest, stance_labels, safe_numbers, row_range, group_range, stance_inputs, unique_events]
+QUERIES = [split_scan, row_locators, point_lookup, csv_unknown_dialect, csv_union, article_files, run_file_checks, conformed_rows, sharded_files, guarded_write, combined_shards, report_lines, run_exports, stored_manifest, stance_labels, safe_numbers, row_range, group_range, stance_inputs, unique_events]
 
 ORACLE = {
     "split_scan": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' ORDER BY doc_id",
@@ -183,6 +191,8 @@ ORACLE = {
     "combined_shards": "SELECT doc_id, lang FROM documents",
     "report_lines": """WITH s AS (SELECT lang, count(*) AS n, max(n_chars) AS m, row_number() OVER (ORDER BY lang) AS k FROM documents GROUP BY 1)
         SELECT k + 3 AS line, '| ' || lang || ' | ' || n || ' | ' || m || ' |' AS text FROM s UNION ALL SELECT unnest([0, 1, 2, 3]), unnest(['# Documents | by language', '', '| lang | documents | longest |', '|-|-|-|'])""",
+    "run_exports": """WITH r AS (SELECT o_custkey AS k, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
+        SELECT k AS o_custkey, '{"failed":' || f || ',"o_custkey":' || k || ',"status":"' || CASE WHEN f = 0 THEN 'completed' WHEN f < n THEN 'partial_failure' ELSE 'failed' END || '","total":' || n || '}' AS line FROM r""",
     "stored_manifest": 'SELECT count(*) AS "rows", true AS copy_is_same, NOT bool_or(o_orderkey = 1) AS changed_is_same FROM orders',
     "stance_labels": "SELECT (['support', 'refute', 'insufficient', 'insufficient', 'refute', 'support'])[doc_id % 6 + 1] AS stance, count(*) AS n FROM documents GROUP BY 1",
     "safe_numbers": "SELECT doc_id, ([7, 7, NULL, NULL, NULL, NULL, NULL, NULL, 1000, NULL])[doc_id % 10 + 1] AS whole, ([7.0, 7.0, 7.5, -2.0, NULL, NULL, NULL, NULL, 1000.0, 0.0]::DOUBLE[])[doc_id % 10 + 1] AS number FROM documents",
