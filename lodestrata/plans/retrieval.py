@@ -76,6 +76,15 @@ def dense_without_origins(spark, d):
     return hits.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+def single_query_search(spark, d):
+    """One query's vector against inverted lists, all of them probed, with the hits' own ids."""
+    vectors = table(spark, d, "embeddings")
+    one = vectors.where("vec_id = 7").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+    hits = dense.list_search(vectors, one, 15, lists=4, probes=4)
+    named = hits.join(vectors.select("vec_id", "label"), "vec_id")
+    return named.select("rank", F.concat(F.lit("article:"), "vec_id").alias("article_id"), "label", F.round("score", 5).alias("score"))
+
+
 def dense_lists_recall(spark, d, half=False):
     """Recall at 10 of inverted-list search against exact search, by query."""
     vectors, queries = table(spark, d, "embeddings"), dense_queries(spark, d)
@@ -89,7 +98,7 @@ def dense_half_lists_recall(spark, d):
     return dense_lists_recall(spark, d, True)
 
 
-QUERIES = [flagship_bm25_top10, postings_summary, bm25_without_origins, bm25_candidates, pool_bm25, dense_exact_top10, dense_candidates, dense_without_origins, dense_lists_recall, dense_half_lists_recall]
+QUERIES = [flagship_bm25_top10, postings_summary, bm25_without_origins, bm25_candidates, pool_bm25, dense_exact_top10, dense_candidates, dense_without_origins, single_query_search, dense_lists_recall, dense_half_lists_recall]
 
 ORACLE = {
     "flagship_bm25_top10": f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm25)
@@ -106,6 +115,8 @@ ORACLE = {
     "pool_bm25": f"""WITH {POOL} SELECT conv_id, turn, round(score, 6) AS score, rank FROM pool WHERE rank <= least(size, 5)""",
     "dense_exact_top10": f"""WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense)
         SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
+    "single_query_search": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, label, round(list_sum(list_transform(list_zip(e, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) AS score FROM embeddings, q),
+        r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s) SELECT rank, 'article:' || vec_id AS article_id, label, round(score, 5) AS score FROM r WHERE rank <= 15""",
     "dense_without_origins": f"""WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense WHERE NOT (label = query_label AND vec_id % 2 = query_id % 2))
         SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
     "dense_candidates": f"""WITH {DENSE} SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
