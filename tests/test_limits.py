@@ -101,6 +101,9 @@ def test_search_in_blocks_is_search_by_shuffles(spark, monkeypatch, exclude):
         hits = sorted((r.item_id, r["rank"], r.doc_id, round(r.score, 8)) for r in sparse.search(docs, queries, 9, out).collect())
         scores = sorted((r.item_id, r.doc_id, round(r.score, 8)) for r in sparse.score_candidates(docs, queries, pairs).collect())
         found.append((hits, scores))
+    monkeypatch.setattr(sparse, "MOST_QUERY_TERMS", 1_000_000)
+    assert sparse.search(docs.limit(0), queries, 9, out).count() == sparse.search(docs, queries.limit(0), 9, out).count() == 0
+    assert sparse.score_candidates(docs.limit(0), queries.limit(0), pairs).agg(F.sum("score")).first()[0] == 0
     assert found[0] == found[1] == found[2] and len(found[0][0]) > 90 and len(found[0][1]) == pairs.count()
 
 
@@ -111,6 +114,7 @@ def test_exact_search_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(dense, "BROADCAST_BYTES", 2000)
     monkeypatch.setattr(dense, "BLOCK_SCORES", 50)
     assert sorted(map(tuple, dense.exact_search(vectors, queries, 7).collect())) == once
+    assert dense.exact_search(vectors.limit(0), queries).count() == dense.exact_search(vectors, queries.limit(0)).count() == 0
     with pytest.raises(PySparkException):
         dense.score_pairs(spark.createDataFrame([(0, -5)], "query_id long, vec_id long"), queries, vectors, "query_id", "vec_id").collect()
 
