@@ -94,7 +94,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
 
 def lower_bound(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """By binary search: for each row of wanted the first row of keys that isn't smaller; rows are compared as words."""
-    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys), np.int64)
+    first = np.ascontiguousarray(keys[:, 0])  # sorted as well, which narrows the search to the rows that share it
+    low, high = (np.searchsorted(first, wanted[:, 0], side) for side in ("left", "right"))
     while True:
         open_ = np.flatnonzero(low < high)
         if not len(open_):
@@ -139,6 +140,8 @@ class Shard:
 def merged_least(shards: list[Shard]) -> list[np.ndarray]:
     """For each shard's classes the least owner over all shards; each shard is searched in the sorted union so far."""
     keys, least = shards[0].keys, shards[0].least
+    if len(shards) == 1:
+        return [least]
     for shard in shards[1:]:
         at = lower_bound(keys, shard.keys)
         inside = np.minimum(at, max(len(keys) - 1, 0))
