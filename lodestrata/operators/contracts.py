@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def json_object_entries(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
-    """(key, value): entries of files that hold one JSON object each; values stay JSON text. Only the keys asked for go on."""
-    whole = spark.read.text(path, wholetext=True)
-    out = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
-    return out.where(F.col("key").isin(keys)) if keys is not None else out
+    """(key, value): entries of files that hold one JSON object each; values that aren't text stay JSON.
+
+    With keys the reader's parser walks the file and builds these entries alone, skipping the others as it meets them;
+    entries that are null are left out. Without keys a file is read as one text.
+    """
+    if keys is None:
+        return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    wanted = StructType([StructField(k, StringType()) for k in keys])
+    rows = spark.read.schema(wanted).option("multiLine", True).json(path)
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"`{k}`").alias("value")) for k in keys])
+    return rows.select(F.inline(pairs)).where("value is not null")
+
+
+def json_array_records(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """Records of files that hold one JSON array of objects each, a row a record, with the schema's fields alone."""
+    out = spark.read.schema(schema).option("multiLine", True).json(path)
+    return out if limit is None else out.limit(limit)
 
 
 def nested_passages(records: DataFrame, passages: str, key: str) -> DataFrame:

@@ -19,6 +19,14 @@ def json_object_entries(spark, d):
     return contracts.json_object_entries(spark, path, [str(k) for k in range(3, 10)])
 
 
+def json_array_records(spark, d):
+    """The items as one JSON array, written, and read back as records with one field of two."""
+    path = new_path(spark, "array")
+    items = table(spark, d, "benchmark").select(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("a"))
+    items.select(F.to_json("a")).coalesce(1).write.text(path)
+    return contracts.json_array_records(spark, path, "text string").select(F.sha2("text", 256).alias("h"))
+
+
 def nested_passages(spark, d):
     turns = table(spark, d, "conversations")
     records = turns.groupBy("conv_id").agg(F.collect_list(F.struct("role", F.length("text").alias("chars"))).alias("passages"))
@@ -106,10 +114,11 @@ def presentation_claims(spark, d):
     return out.select("claim_id", "role", "integrity", join("affecting_step_ids"), join("incoming_step_ids"), join("outgoing_step_ids"))
 
 
-QUERIES = [json_object_entries, nested_passages, integral_labels, aspect_maps, asymmetric_links, prompt_citations, citation_checks, applicability_checks, gap_checks, translations, first_mismatches, capped_direction, cached_usage, presentation_claims]
+QUERIES = [json_object_entries, json_array_records, nested_passages, integral_labels, aspect_maps, asymmetric_links, prompt_citations, citation_checks, applicability_checks, gap_checks, translations, first_mismatches, capped_direction, cached_usage, presentation_claims]
 
 ORACLE = {
     "json_object_entries": "SELECT CAST(item_id AS VARCHAR) AS key, text AS value FROM benchmark WHERE item_id BETWEEN 3 AND 9",
+    "json_array_records": "SELECT sha256(text) AS h FROM benchmark",
     "nested_passages": "SELECT DISTINCT CAST(length(text) AS INTEGER) AS chars FROM conversations",
     "integral_labels": "SELECT CAST(quality AS INTEGER) AS label, count(*) AS n FROM labels GROUP BY 1",
     "aspect_maps": "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey = l_linenumber THEN CAST(l_suppkey AS VARCHAR) ELSE l_suppkey || ',' || l_linenumber END AS items FROM lineitem",
