@@ -38,13 +38,19 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def part_hashes(codes: np.ndarray, starts: np.ndarray, blanks: bool = False) -> np.ndarray:
+#: The same for bytes: without those that stand for blanks of ASCII, and in lower case as far as ASCII goes.
+BYTE_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+BYTES = [np.where(BYTE_BLANK, np.uint64(0), every[np.frombuffer(bytes(range(256)).lower(), np.uint8)]) for every in _EVERY]
+
+
+def part_hashes(codes: np.ndarray, starts: np.ndarray, blanks: bool = False, tables: list[np.ndarray] | None = None) -> np.ndarray:
     """Two 64-bit hashes of each part (from its start to the next one's), without its blanks unless ``blanks``.
 
-    They are sums over characters, so that a long part is summed up piece by piece.
+    They are sums over characters, so that a long part is summed up piece by piece. ``tables`` are what each code adds;
+    given one alone, there is one hash.
     """
-    tables = _EVERY if blanks else _INK
-    out = np.zeros((len(starts), 2), np.uint64)
+    tables = tables or (_EVERY if blanks else _INK)
+    out = np.zeros((len(starts), len(tables)), np.uint64)
     for low in range(0, len(codes), HASH_CHARS):
         part = codes[low : low + HASH_CHARS]
         first, end = np.searchsorted(starts, [low, low + len(part)])
@@ -57,9 +63,9 @@ def part_hashes(codes: np.ndarray, starts: np.ndarray, blanks: bool = False) ->
         part = part[own[0] :]
         own = own - own[0]
         turn = np.arange(len(part)) - np.repeat(own, np.diff(np.r_[own, len(part)]))
-        place = np.minimum(part, 0xFFFF)
-        rare = np.flatnonzero(part > 0xFFFF)
-        for lane in (0, 1):
+        place = part if part.dtype == np.uint8 else np.minimum(part, 0xFFFF)
+        rare = np.flatnonzero(part > 0xFFFF) if part.dtype != np.uint8 else place[:0]
+        for lane in range(len(tables)):
             value = tables[lane][place]
             if len(rare):
                 value[rare] = _characters(part[rare], lane)
