@@ -114,14 +114,14 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
 
     extra = [(40 + k, f"{t} Number {k}. " + " ".join(f"w{k}x{j}" for j in range(60)), None if k % 3 else "de", "src1" if k % 2 else None) for k, (_, t) in enumerate(DOCS) if t]
     rows = [(d, t, "en" if d else None, f"src{(d or 0) % 3}") for d, t in DOCS] + extra + extra[:2]
-    extra += [(100 + k, " ".join(f"word{k}x{j % 57}." for j in range(70 + k)), ["de", "fr", None][k % 3], f"src{k % 4}") for k in range(30)]
+    rows += [(100 + k, " ".join(f"word{k}x{j}." for j in range(60 + k % 9)), ["de", "fr", "en", "es", None][k % 5], f"src{k % 3}") for k in range(120)]
     schema = "doc_id long, text string, lang string, source string, i string, t string, row string, class string, topic string, `a.b` string"
     for name, chosen in (("some", rows), ("none", [])):
         spark.createDataFrame([(*r, "i", "t", "row", "class", "mine", "ab") for r in chosen], schema).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     found = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
     want = plain_pipeline(spark, rows, [x for x in ITEMS if x[0] is not None])
-    assert len(want) > 5
+    assert len(want) > 20
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted((tuple(r) for r in found), key=key) == want
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
