@@ -171,8 +171,11 @@ class PieceEncoder:
                 self._forget()
                 missing = np.flatnonzero(short)
             _, once = np.unique(hashes[missing, 0], return_index=True)
-            for low in range(0, len(once), CACHE_PIECES // 2):
-                chosen = missing[once[low : low + CACHE_PIECES // 2]]
+            step = max(1, CACHE_PIECES // 8)
+            for low in range(0, len(once), step):
+                if self.count >= CACHE_PIECES:  # a text of so many unlike pieces: the others are encoded where they stand
+                    break
+                chosen = missing[once[low : low + step]]
                 self._learn([joined[a:b] for a, b in zip(starts[chosen].tolist(), stops[chosen].tolist())], hashes[chosen])
             numbers = self._find(hashes)
         long = np.flatnonzero(numbers < 0)
@@ -189,14 +192,18 @@ class PieceEncoder:
 
     def _mixed(self, numbers: np.ndarray, long: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and counts of pieces of which some aren't known; those are given."""
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        sizes, ids = [], []
+        for low in range(0, len(pieces), 4096):
+            found = self.tokenizer.encode_batch_fast(pieces[low : low + 4096], add_special_tokens=False)
+            sizes.append(np.array([len(x.ids) for x in found], np.int64))
+            ids.append(np.array([i for x in found for i in x.ids], np.uint32))
         known = np.maximum(numbers, 0)
         counts = self.first[known + 1] - self.first[known]
-        counts[long] = [len(x.ids) for x in found]
+        counts[long] = np.concatenate(sizes)
         mask = np.repeat(numbers < 0, counts)
         out = np.empty(len(mask), np.uint32)
         out[~mask] = self._taken(numbers[numbers >= 0])[0]
-        out[mask] = [i for x in found for i in x.ids]
+        out[mask] = np.concatenate(ids)
         return out, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -344,6 +344,19 @@ def test_token_files_are_bounded_and_stay_in_order(spark, monkeypatch):
         place[r.file] = r.local + r.n_tokens
 
 
+@pytest.mark.parametrize("most", [1, 3, 50, 700])
+def test_more_pieces_than_are_remembered(monkeypatch, most):
+    monkeypatch.setattr(token_files, "CACHE_PIECES", most)
+    rng = random.Random(2)
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        encoder = token_files.PieceEncoder(f.read())
+    texts = ["", " ", *(" ".join(rng.choice(["", "é", "a"]) + f"w{rng.randrange(900)}" + rng.choice(["", ".", ",x", "!", "y" * 70]) for _ in range(n)) for n in (1, 40, 3000, 2, 500)), "", "z" * 300]
+    for _ in range(2):
+        for part in (texts, texts[3:5], texts[::-1]):
+            found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)]
+            assert found == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_pieces_encode_as_the_whole():
     rng = random.Random(4)
     with open(tokenizer_file(), encoding="utf-8") as f:
