@@ -28,6 +28,8 @@ MAGIC = b"LSTOK8B1"
 #: Ids after which a segment ends (a longer document is a segment of its own), and segments after which a file ends.
 SEGMENT_IDS = 1 << 20
 FILE_SEGMENTS = 32
+#: Rows of one doc_id beyond which they are dealt to several tasks by how their texts begin.
+MOST_REPEATS = 100_000
 #: Known pieces are dropped when there are so many, which bounds a worker's memory; longer pieces aren't remembered.
 CACHE_PIECES = 800_000
 LONGEST_KNOWN = 64
@@ -304,8 +306,12 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: st
 
     path = path or new_path(spark, "tokens")
     first = F.col("doc_id").asc_nulls_first()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 32).alias("head"))
-    ordered = named.repartitionByRange(first, "head").sortWithinPartitions(first, "text").select("doc_id", "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if named.groupBy("doc_id").count().where(F.col("count") > MOST_REPEATS).head(1):
+        ranged = named.withColumn("head", F.substring("text", 1, 32)).repartitionByRange(first, "head").drop("head")
+    else:  # then the ranges can be told from the ids alone, without reading texts for it
+        ranged = named.repartitionByRange(first)
+    ordered = ranged.sortWithinPartitions(first, "text")
     lines = ordered.mapInArrow(run, "value binary").select(F.expr("cast(value as string)").alias("value"))
     lines.write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
     return path

@@ -329,8 +329,10 @@ def test_token_files(spark, docs, none):
     assert token_files.token_table(none, tokenizer_file()).count() == 0
 
 
-def test_token_files_are_bounded_and_stay_in_order(spark, monkeypatch):
+@pytest.mark.parametrize("repeats", [1, 100_000])
+def test_token_files_are_bounded_and_stay_in_order(spark, monkeypatch, repeats):
     monkeypatch.setattr(token_files, "FILE_SEGMENTS", 2)
+    monkeypatch.setattr(token_files, "MOST_REPEATS", repeats)
     rng = random.Random(9)
     frame = spark.createDataFrame([(k % 700 if k % 9 else None, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(30)))) for k in range(1500)], "doc_id long, text string")
     path = token_files.write(frame, tokenizer_file(), segment_ids=100)
