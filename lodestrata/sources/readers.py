@@ -93,6 +93,18 @@ def with_locators(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_in_file"))
 
 
+def with_places(df: DataFrame) -> DataFrame:
+    """df, as read from files, with path, row_in_file and row_in_table: files in order of their paths, rows as they stand in them.
+
+    Rows are counted by file; only these counts, a row for each file, are put in order in one place.
+    """
+    found = with_locators(df)
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = found.groupBy("path").agg((F.max("row_in_file") + 1).alias("n")).select("path", before.alias("before"))
+    return found.join(F.broadcast(files), "path").withColumn("row_in_table", F.col("before") + F.col("row_in_file")).drop("before")
+
+
 def combined_shards(spark: SparkSession, paths: list[str], key: str, expected: DataFrame | None = None) -> DataFrame:
     """Shards of one table put together; a key in several shards is an error, as is one that isn't expected or is missing, when rows are read."""
     out = None
