@@ -72,16 +72,18 @@ def _block_runs(data: bytes, ends: np.ndarray, low: int, high: int, width: int)
     words = words_at(padded(data[low : high + width - 1]), big=False)
     grams = _mix(words[: count + width - GRAM] * _A + words[GRAM // 2 : count + width - GRAM + GRAM // 2] * _B)
     least = _least_of(grams, width - GRAM + 1)
-    place = np.arange(low, high)
-    text = np.searchsorted(ends, place, side="right")
-    valid = np.flatnonzero(place + width <= ends[text])
-    value, owner, place = least[valid], text[valid], place[valid]
-    if not len(valid):
-        return value, owner, place, place
-    head = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])
-    firsts = np.flatnonzero(head)
-    lasts = np.append(firsts[1:], len(valid)) - 1
-    return value[firsts], owner[firsts], place[firsts], place[lasts]
+    texts = slice(int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high - 1, side="right")) + 1)
+    begin = np.concatenate([[0], ends])[texts].clip(min=low) - low
+    stop = (ends[texts] - width + 1).clip(max=high) - low
+    some = begin < stop
+    head = np.ones(count + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=head[1:count])
+    head[begin[some]] = head[stop[some]] = True
+    starts = np.flatnonzero(head)
+    first, last = starts[:-1] + low, starts[1:] - 1 + low
+    owner = np.searchsorted(ends, first, side="right")
+    valid = first + width <= ends[owner]
+    return least[starts[:-1][valid]], owner[valid], first[valid], last[valid]
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -90,7 +92,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _minimizers(width: int, buckets: int, chunk: int = 4 << 20):
+def _minimizers(width: int, buckets: int, chunk: int = 16 << 20):
     """Task body: (bucket, hashes, shards, many) of the minimizers of some documents; many: in two of these or more, and how many bytes their segments have."""
 
     def one(texts: list[bytes], shards: list[int]) -> pa.RecordBatch:
@@ -224,11 +226,54 @@ def _segments(width: int, routes: int):
     return run
 
 
+#: Bytes of a place's segments up to which windows are counted before any are sorted; a larger place's are all sorted.
+COUNTED_BYTES = 16 << 20
+
+
+def _repeated(pieces: list[bytes], width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(runs, piece, start): what is left of the pieces without the windows that are there once, as a hash of each tells.
+
+    Equal windows have equal hashes, so none that is there twice is left out; a window more may stay.
+    """
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(lengths)
+    if ends[-1] > COUNTED_BYTES:
+        return pieces, np.arange(len(pieces)), np.zeros(len(pieces), np.int64)
+    data = b"".join(pieces)
+    found = []
+    for low in range(0, len(data) - width + 1, BLOCK):
+        count = min(BLOCK, len(data) - width + 1 - low)
+        words = words_at(padded(data[low : low + count + width - 1]), big=False)
+        hashes = words[:count] * _A
+        for k in [*range(8, width - 8, 8), width - 8]:
+            hashes ^= hashes >> np.uint64(32)
+            hashes += words[k : k + count]
+            hashes *= _B
+        found.append(hashes ^ (hashes >> np.uint64(29)))
+    hashes = np.concatenate(found)
+    piece = np.repeat(np.arange(len(pieces)), lengths - width + 1)
+    at = np.arange(len(piece)) + piece * (width - 1)  # each piece but the last ends in width - 1 places that start no window of its own
+    hashes = hashes[at]
+    inorder = np.sort(hashes)
+    twice = np.unique(inorder[1:][inorder[1:] == inorder[:-1]])
+    if not len(twice):
+        return [], piece[:0], piece[:0]
+    keep = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes)
+    at, piece = at[keep], piece[keep]
+    head = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])])
+    firsts = np.flatnonzero(head)
+    lasts = np.append(firsts[1:], len(at)) - 1
+    runs_ = [data[a : b + width] for a, b in zip(at[firsts].tolist(), at[lasts].tolist())]
+    piece = piece[firsts]
+    return runs_, piece, at[firsts] - (ends - lengths)[piece]
+
+
 def _cut_classes(width: int, shard_bytes: int):
     """Task body, rows in order of their place: suffix arrays over shards of a place's segments, merged; yields (shard, cuts) of windows with an earlier owner.
 
     Of equal segments the least owner's is sorted, once; later owners lose theirs whole. A segment that is then the
-    only one of its minimizer has no window that another holds, and isn't sorted.
+    only one of its minimizer has no window that another holds, and isn't sorted; nor is a window whose hash no other
+    has. Two windows of one segment count as two, so that class stays and is judged by its owners.
     """
 
     def cuts(home: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -268,7 +313,10 @@ def _cut_classes(width: int, shard_bytes: int):
         if not len(chosen):
             return
         pieces = list(known)
-        pieces = [pieces[k] for k in chosen]
+        pieces, of_chosen, skipped = _repeated([pieces[k] for k in chosen], width)
+        if not pieces:
+            return
+        chosen = chosen[of_chosen]
         sizes = np.cumsum([len(p) for p in pieces])
         bounds = [0, *(np.searchsorted(sizes, np.arange(shard_bytes, int(sizes[-1]), shard_bytes)) + 1).tolist(), len(pieces)]
         spans = [(x, y) for x, y in zip(bounds, bounds[1:]) if x < y]
@@ -276,7 +324,7 @@ def _cut_classes(width: int, shard_bytes: int):
         for (low, _), shard, least in zip(spans, shards, merged_least(shards)):
             segment = chosen[shard.segment + low]
             gone = least[shard.class_of] < first[segment]
-            segment, offset = segment[gone], shard.offset[gone]
+            segment, offset = segment[gone], (shard.offset + skipped[shard.segment + low])[gone]
             order = np.lexsort((offset, segment))
             segment, offset = segment[order], offset[order]
             if not len(segment):
