@@ -61,11 +61,9 @@ def dense_exact_top10(spark, d):
 
 
 def dense_candidates(spark, d):
-    vectors = table(spark, d, "embeddings")
-    queries = dense_queries(spark, d)
-    pairs = queries.join(vectors.select("vec_id", "label"), F.col("label") == F.col("query_label")).where("vec_id <> query_id").select("query_id", "vec_id")
-    out = dense.score_pairs(pairs, queries, vectors, "query_id", "vec_id")
-    return sparse.top_k(out, "query_id", "vec_id", None).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+    """Each query's vectors of its own label, all of them ranked."""
+    out = dense.ranked_within(dense_queries(spark, d), table(spark, d, "embeddings"), "label")
+    return out.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 def dense_without_origins(spark, d):
