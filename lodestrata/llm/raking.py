@@ -3,7 +3,7 @@
 Tokens are counted by cell (source, language and topic together); the cell weights are raked until their sums meet
 every target share; documents are then sampled with the probability that gives each cell its weight of the budget.
 Values that the targets don't name share the class OTHER and what the named targets leave, so the number of cells is
-bounded by the parameters and the fit runs on the driver. Topics come with the table or are fitted (see topics).
+bounded by the parameters and the fit runs on the driver. Topics come with the table or are fitted on all of it (see topics).
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ def _class(column: Column, named: dict[str, float]) -> Column:
 def classed(docs: DataFrame, targets: dict[str, dict[str, float]], topic_col: str | None = None, seed: int = 42) -> DataFrame:
     """(row, i, x, source, lang, topic, tokens): docs' rows as structs, their ids and texts, classes and words.
 
-    Topics are those of topic_col, or fitted on a sample of docs; then texts without words are OTHER.
+    Topics are those of topic_col, or fitted on all of docs; then texts without words are OTHER.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     if topic_col is None:
-        number = topics.topic_column(topics.fit(docs, TOPICS, seed=seed), F.col("text"), F.col("lang"))
+        found = topics.judged_column(topics.fit(docs, TOPICS, seed=seed), F.col("text"), F.col("lang"))
+        number, tokens = found.getField("topic"), found.getField("words")
         topic = F.when(number >= 0, F.concat(F.lit("topic"), number.cast("string"))).otherwise(OTHER)
     else:
         topic = F.col(topic_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("text").alias("x"), "source", "lang", topic.alias("topic"), F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))).cast("long").alias("tokens"))
+        tokens = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(f"({WORD})"), F.lit(1))).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("text").alias("x"), "source", "lang", topic.alias("topic"), tokens.alias("tokens"))
     return rows.withColumns({d: _class(F.col(d), targets[d]) for d in DIMENSIONS})
 
 
