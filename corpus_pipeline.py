@@ -16,7 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of five-word shingles of at least 0.8): that of the smallest doc_id."""
+    """One document of each group of near copies (Jaccard similarity of five-word shingles of at least 0.8): that of the smallest doc_id.
+
+    Candidates are found by SimHash fingerprints through their Gray-order index and, where those lie too far apart, by
+    keys of parts of the shingle sets; all are checked exactly.
+    """
     return near_copies.keep_one(ship(spark) and docs)
 
 

@@ -1,6 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and what they link.
 
-Equal sets collapse first. Two sets of that similarity differ in at most a ninth of their sizes' sum, so when shingles
+Equal sets collapse first. Candidates come in two ways. Texts are linked by op1's method: their SimHash fingerprints are
+routed by agreeing blocks and joined by the tree in Gray order, here within RADIUS bits. Most texts of that similarity
+lie further apart than any radius at which blocks still tell fingerprints apart, so those links alone would lose pairs;
+the keys below find these too. What either way links is then checked exactly.
+
+Two sets of that similarity differ in at most a ninth of their sizes' sum, so when shingles
 are dealt by hash to more parts than that, some part holds the same shingles in both: the hash of every part that isn't
 empty is a key (for large sets, of every part that isn't small). Sizes fall into classes so wide that a partner's class
 is the same or a neighbour. Two sets can only miss each other if all parts in which they agree are empty, or for large
@@ -25,13 +30,15 @@ from lodestrata.llm.blocks import linked_in_blocks
 from lodestrata.llm.characters import BYTE_BLANK, BYTES, A, B, mix, part_hashes
 from lodestrata.llm.common import discard, slices, stored
 from lodestrata.llm.components import connected_components, one_of_each
-from lodestrata.llm.simhash import _unite
+from lodestrata.llm.simhash import _unite, fingerprint, hamming_links
 
 SIZE = 5
 #: Bytes of texts that go through together; a longer text goes alone.
 BATCH_BYTES = 1 << 19
 #: Similarity asked for, as a fraction.
 NUM, DEN = 4, 5
+#: Bits by which fingerprints of candidates may differ, and how often their blocks are routed anew: then 43 bits are fixed at least.
+RADIUS, LEVELS = 3, 4
 
 LOW = [1, 2]
 while LOW[-1] < 1 << 40:
@@ -119,17 +126,33 @@ def keys(members: np.ndarray) -> np.ndarray:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, code, size, bits): one row for each row of docs; t is a hash of its text."""
+    """(doc_id, t, code, size, bits, fp): one row for each row of docs; t is a hash of its text, fp its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, BATCH_BYTES):
-                sets = shingle_sets(part.column(2).to_pylist())
-                columns = [part.column(0), part.column(1), pa.array(map(code, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "code", "size", "bits"])
+                texts = part.column(2).to_pylist()
+                sets = shingle_sets(texts)
+                prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+                columns = [part.column(0), part.column(1), pa.array(map(code, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary()), pa.array(prints)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "code", "size", "bits", "fp"])
 
     chosen = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, t long, code long, size long, bits binary")
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, t long, code long, size long, bits binary, fp long")
+
+
+def fingerprint_links(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Links (a, b) of codes that connect all sets whose texts' fingerprints are equal or within RADIUS bits, and their path. rows: (code, size, fp)."""
+    spark = rows.sparkSession
+    printed, printed_path = stored(rows.where("size > 0").select("fp", "code").distinct(), "prints")
+    first, first_path = stored(printed.groupBy("fp").agg(F.min("code").alias("first")), "first-prints")
+    same = printed.join(first, "fp").where("code <> first").select(F.col("code").alias("a"), F.col("first").alias("b"))
+    near = hamming_links(first.select("fp"), RADIUS, levels=LEVELS)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"of_{end}")), end)
+    found = stored(same.union(near.select("of_a", "of_b")).where("a <> b"), "print-links")
+    discard(spark, printed_path, first_path)
+    return found
 
 
 #: A task that meets over HOT sets under a key sends its further ones to SALTS partitions instead of one.
@@ -357,9 +380,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     routed = texts.mapInArrow(_routed, "key long, salt int, code long").repartition("key", "salt").sortWithinPartitions("key", "salt", "code")
     shared, shared_path = stored(routed.mapInArrow(_shared, "key long, code long"), "shared")
     met = shared.join(least.select("code", "size", "bits"), "code").select("key", "code", F.lit(1).cast("long").alias("w"), "size", "bits")
-    links, link_path = stored(linked_in_blocks(met, _candidates, _candidates_across, KEY_SETS), "candidates")
+    alike, alike_path = fingerprint_links(rows)
+    links, link_path = stored(alike.union(linked_in_blocks(met, _candidates, _candidates_across, KEY_SETS)), "candidates")
     groups, groups_path = stored(connected_components(links).select(F.col("node").alias("code"), F.col("component").alias("key")), "groups")
-    discard(spark, shared_path, link_path)
+    discard(spark, shared_path, link_path, alike_path)
     chosen, chosen_path = stored(least.join(groups, "code").select("t"), "chosen")
     hashed = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     members = hashed.join(chosen, "t", "left_semi").select("text").mapInArrow(_members, "code long, w long, members binary")

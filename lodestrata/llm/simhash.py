@@ -194,18 +194,19 @@ def _split(groups: DataFrame, distance: int, depth: int) -> DataFrame:
     return groups.select("fp", F.explode(F.array(*pieces)).alias("p")).select("fp", "p.key", "p.turn", "p.rest")
 
 
-def hamming_links(codes: DataFrame, distance: int = 2, group_rows: int = 4096) -> DataFrame:
+def hamming_links(codes: DataFrame, distance: int = 2, group_rows: int = 4096, levels: int = 3) -> DataFrame:
     """Links (a, b) that connect the same classes as all pairs of distinct codes within ``distance`` bits.
 
-    codes: one column fp of distinct longs. Groups of over ``group_rows`` codes are routed anew by bits still free.
+    codes: one column fp of distinct longs. Groups of over ``group_rows`` codes are routed anew by bits still free,
+    until they have been routed ``levels`` times.
     """
     start = codes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
     ready, groups = None, start
-    for depth in range(3):
+    for depth in range(levels):
         routed = _split(groups, distance, depth)
         sizes = routed.groupBy("key").count()
         large = sizes.where(F.col("count") > group_rows).select("key")
-        if depth == 2 or not large.head(1):
+        if depth == levels - 1 or not large.head(1):
             done, groups = routed, None
         else:
             done, groups = routed.join(large, "key", "left_anti"), routed.join(large, "key", "left_semi")

@@ -132,3 +132,50 @@ def test_a_large_group_links_as_all_pairs_do():
                 low, high = min(want[i], want[j]), max(want[i], want[j])
                 want = [low if x == high else x for x in want]
     assert labels.tolist() == want
+
+
+def test_fingerprints_link_all_codes_within_the_radius(spark):
+    """Equal fingerprints of several sets, chains within the radius, pairs just beyond it; wordless texts take no part."""
+    rng = random.Random(12)
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for k in range(150):
+        moved = prints[k]
+        for bit in rng.sample(range(64), 1 + k % 6):
+            moved ^= 1 << bit
+        prints.append(moved)
+    rows = [(k, 9, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints + prints[:40])] + [(1000, 0, 0), (1001, 9, 0)]
+    frame = spark.createDataFrame(rows, "code long, size long, fp long").repartition(6)
+    label = {c: c for c, size, _ in rows if size}
+    want = dict(label)
+
+    def unite(of, a, b):
+        old, new = max(of[a], of[b]), min(of[a], of[b])
+        of.update({c: new for c, x in of.items() if x == old})
+
+    for a, b in ((r.a, r.b) for r in near_copies.fingerprint_links(frame)[0].collect()):
+        unite(label, a, b)
+    for i, (a, size, p) in enumerate(rows):
+        for b, other, q in rows[:i]:
+            if size and other and ((p ^ q) & (2**64 - 1)).bit_count() <= near_copies.RADIUS:
+                unite(want, a, b)
+    assert label == want and len(set(want.values())) < len(want) - 100
+
+
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """Without the keys, long texts with a word changed are still found, and what isn't similar enough is still told apart."""
+
+    def nothing(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    monkeypatch.setattr(near_copies, "_routed", nothing)
+    rng = random.Random(3)
+    rows = []
+    for n in range(6):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(3000)]
+        rows += [(10 * n, " ".join(base)), (10 * n + 1, " ".join(edited(rng, base, 1)))]
+    rows += [(90, " ".join(["tick"] * 50)), (91, " ".join(["tick"] * 49 + ["tock"]))]  # equal fingerprints, half the shingles in common
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.select("doc_id", "component_id").collect()) == sorted((d, c) for (d, _), c in zip(rows, classes(rows)))
+    assert sum(d != c for (d, _), c in zip(rows, classes(rows))) == 6
